@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.embedding_dedup import embedding_links
 
@@ -24,7 +30,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_embedding_near_dedup, op5_simhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op4_embedding_near_dedup, op5_simhash_near_dedup)
 }
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
