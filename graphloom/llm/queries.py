@@ -29,8 +29,26 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op4_embedding_near_dedup, op5_simhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op4_embedding_near_dedup, op5_simhash_near_dedup, op6_secret_scans, op9_source_mixing, op10_url_filters)
 }
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
