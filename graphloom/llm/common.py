@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ ARROW_ROWS = 512
 BROADCAST_ROWS = 10_000
 
 _own_dir: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +63,23 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once, so that they need no installed copy."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted((root / "graphloom").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps Arrow batches of texts small, so that a worker's memory is bounded."""
+    """Readies the session for Python workers; small batches of texts bound a worker's memory."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

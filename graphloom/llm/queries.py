@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
+from graphloom.llm.mixing import ORACLE_SQL as MIXING_SQL
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,18 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.embedding_dedup import embedding_links
 
@@ -35,6 +48,18 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.piece_fst import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.mixing import mix
 
@@ -48,7 +73,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op4_embedding_near_dedup, op5_simhash_near_dedup, op6_secret_scans, op9_source_mixing, op10_url_filters)
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_toxicity,
+        op3_quality_classifier,
+        op4_embedding_near_dedup,
+        op5_simhash_near_dedup,
+        op6_secret_scans,
+        op7_token_counts,
+        op8_sentencepiece,
+        op9_source_mixing,
+        op10_url_filters,
+    )
 }
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_source_mixing": MIXING_SQL}
