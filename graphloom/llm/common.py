@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import discard, materialize, shared_dir
+
+__all__ = ["discard", "materialize", "shared_dir"]
+
 #: Characters that separate words (space and the ASCII controls tab to return).
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -19,7 +22,6 @@ ARROW_ROWS = 512
 #: A side of a join is broadcast only up to so many rows (each of a few numbers).
 BROADCAST_ROWS = 10_000
 
-_own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -27,37 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master.startswith("local[") or master == "local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="graphloom-"))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
-
-    Unlike cached blocks or a local checkpoint it outlives any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.graphloom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table of materialize() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.graphloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the (materialized) table has at most so many rows, else df itself."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
