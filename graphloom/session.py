@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import NotSupported, SemanticError
+from graphloom.functions.types import NULL
 from graphloom.operators import mutate
 from graphloom.plans import ast as a
 from graphloom.plans.match import Matcher
@@ -119,5 +120,11 @@ class GraphSession:
         return Frame(df, {**frame.scope, clause.variable: ValueVar(name, kind)})
 
     def _result(self, frame: Frame, params: dict) -> DataFrame:
+        """The visible variables as columns; values of no known type (all null) become text columns."""
         evaluator = Evaluator(frame.scope, params, self.semantics)
-        return frame.rows(self.spark).select(*[evaluator(a.Variable(n)).column.alias(n) for n in frame.scope])
+        columns = []
+        for name in frame.scope:
+            value = evaluator(a.Variable(name))
+            column = value.column.cast("string") if value.type == NULL else value.column
+            columns.append(column.alias(name))
+        return frame.rows(self.spark).select(*columns)
