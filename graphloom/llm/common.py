@@ -56,6 +56,14 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with its columns under numbers, so that no working column can clash with them, and the
+    columns to select in the end. `text`, `source`, `doc_id` and `n_chars` are added under _ names."""
+    own = [F.col(f"`{c}`").alias(f"{k}") for k, c in enumerate(docs.columns)]
+    named = [F.col(c).alias(f"_{c}") for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    return docs.select(*own, *named), [F.col(f"`{k}`").alias(c) for k, c in enumerate(docs.columns)]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body uses it in its lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.buckets import map_buckets
+from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
 from graphloom.llm.common import arrow_rows, materialize
 from graphloom.llm.components import connected_components
 
@@ -27,6 +27,7 @@ class SignTables:
     tables: int = 32
     bits: int = 12
     seed: int = 4
+    block_rows: int = BLOCK_ROWS
 
     def planes(self, dim: int) -> np.ndarray:
         rng = np.random.default_rng((self.seed, dim))
@@ -154,7 +155,7 @@ def embedding_links(vectors: DataFrame, config: SignTables = SignTables()) -> Da
     keys = distinct.select("rid", "grp", "copies", "vector").mapInArrow(
         _Keys(config), "key bigint, rid bigint, grp bigint, table int, copies bigint, vector array<double>"
     )
-    found = materialize(map_buckets(keys, _Links(config), "rid bigint, peer bigint, links bigint"))
+    found = materialize(map_buckets(keys, _Links(config), "rid bigint, peer bigint, links bigint", config.block_rows))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rid").alias("a"), F.col("peer").alias("b")).distinct())
     named = distinct.select("rid", "h1", "h2", "copies", "first").join(counts, "rid", "left")

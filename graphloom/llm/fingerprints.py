@@ -49,11 +49,12 @@ def minimum_bins(hashes: Column) -> Column:
             lambda h, i: (i == 0) | (F.shiftrightunsigned(h, BIN_SHIFT) != F.shiftrightunsigned(F.get(ordered, i - 1), BIN_SHIFT)),
         )
 
-    return let(F.sort_array(F.concat(hashes, _EMPTY_BINS)), firsts)
+    return let(F.sort_array(F.concat(hashes, _empty_bins())), firsts)
 
 
-#: Bin b (as a signed byte: -128 first, as hashes sort) without a hash.
-_EMPTY_BINS = F.expr(f"transform(sequence(-{BINS // 2}L, {BINS // 2 - 1}L), b -> (shiftleft(b, {BIN_SHIFT}) | {2**BIN_SHIFT - 1}L))")
+def _empty_bins() -> Column:
+    """The greatest value of each bin b (as a signed byte: -128 first, as hashes sort)."""
+    return F.expr(f"transform(sequence(-{BINS // 2}L, {BINS // 2 - 1}L), b -> (shiftleft(b, {BIN_SHIFT}) | {2**BIN_SHIFT - 1}L))")
 
 
 def _filled(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded, materialize, words
+from graphloom.llm.common import bounded, materialize, sheltered, words
 
 #: Weights of the sources in order, repeating, and how often a source may be taken at most.
 WEIGHTS = (5, 2, 1)
@@ -25,8 +25,8 @@ def size_of(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
-def hash_of() -> Column:
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+def hash_of(doc_id: str = "doc_id") -> Column:
+    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return F.conv(F.substring(F.md5(key), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
@@ -127,13 +127,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Texts without words are left out, as they add nothing to the mix.
     """
     sized = materialize(sizes(docs))
-    budget = budgets(sized).select(F.col("source").alias("__s"), "whole", "cut")
-    own = [F.col(c).alias(f"__own_{c}") for c in docs.columns]
-    rows = docs.select(*own, F.col("source").alias("__source"), hash_of().alias("h"), size_of(F.col("text")).alias("__size"))
-    rows = rows.where("__size > 0").join(bounded(budget), F.col("__source").eqNullSafe(F.col("__s")))
-    rows = rows.withColumn("__times", times_taken()).where("__times > 0")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times"))))
-    return rows.select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
+    budget = budgets(sized).select(F.col("source").alias("s"), "whole", "cut")
+    rows, restored = sheltered(docs)
+    rows = rows.withColumns({"h": hash_of("_doc_id"), "size": size_of(F.col("_text"))}).where("size > 0")
+    rows = rows.join(bounded(budget), F.col("_source").eqNullSafe(F.col("s")))
+    rows = rows.withColumn("times", times_taken()).where("times > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return rows.select(*restored)
 
 
 #: The same mix in DuckDB SQL: instead of histograms, a sum over each source in hash order.

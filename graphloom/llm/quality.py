@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.classify import labelled_texts, score_column
-from graphloom.llm.common import arrow_rows, is_held_out, materialize
+from graphloom.llm.common import arrow_rows, is_held_out, materialize, sheltered
 
 #: Training texts of either label at most, those of the smallest hashes of their ids.
 PER_CLASS = 3000
@@ -169,5 +169,6 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the machine does not reject, in their own columns."""
     model = fit_quality(docs, labels)
-    scored = docs.withColumn("__quality", score_column(F.col("text"), model.score))
-    return scored.where(F.col("__quality") >= threshold).select(*docs.columns)
+    rows, restored = sheltered(docs)
+    scored = rows.withColumn("_quality", score_column(F.col("_text"), model.score))
+    return scored.where(F.col("_quality") >= threshold).select(*restored)

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import let
+from graphloom.llm.common import let, sheltered
 
 # The patterns of known secrets and the least length of a match or its value.
 KINDS = ("assign", "access", "hex")
@@ -175,11 +175,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with __base and __all: arrays of spans (start, rank, kind, end), sorted."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.withColumn("__base", base_spans(text))
-    return found.withColumn("__all", F.array_sort(F.concat("__base", random_spans(text, F.col("__base")))))
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with base and all: arrays of spans (start, rank, kind, end), sorted."""
+    whole = F.coalesce(text, F.lit(""))
+    found = docs.withColumn("base", base_spans(whole))
+    return found.withColumn("all", F.array_sort(F.concat("base", random_spans(whole, F.col("base")))))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -192,12 +192,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     gives an empty one.
     """
     found = with_spans(docs.select("doc_id", "text"))
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("bigint")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select(
         "doc_id",
         *[count(kind).alias(f"n_{kind}") for kind in KINDS],
-        F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"),
-        _joined(F.col("__all")).alias("spans"),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.col("all")).alias("spans"),
     )
 
 
@@ -206,8 +206,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     Texts without spans, null ones included, stay as they are, as do all other columns.
     """
-    found = with_spans(docs)
-    text = F.col("text")
+    rows, restored = sheltered(docs)
+    found = with_spans(rows, "_text")
+    text = F.col("_text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(done: Column, s: Column) -> Column:
@@ -216,8 +217,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["parts"], F.coalesce(part, inside)).alias("parts"))
 
     rest = lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
-    clean = F.when(F.size("__all") == 0, text).otherwise(F.aggregate(F.col("__all"), start, step, rest))
-    out = found.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__all") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
-    return out.select(*docs.columns)
+    clean = F.when(F.size("all") == 0, text).otherwise(F.aggregate(F.col("all"), start, step, rest))
+    length = F.when(F.size("all") == 0, F.col("_n_chars")).otherwise(F.char_length("_clean").cast("bigint")) if "n_chars" in docs.columns else None
+    changed = {"text": F.col("_clean"), "n_chars": length}
+    return found.withColumn("_clean", clean).select(*[changed[c].alias(c) if c in changed else own for c, own in zip(docs.columns, restored, strict=True)])

@@ -11,11 +11,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.buckets import map_buckets
-from graphloom.llm.common import WORD, arrow_rows, materialize
+from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
+from graphloom.llm.common import WORD, arrow_rows, materialize, sheltered
 from graphloom.llm.components import connected_components
 
 _WORD = re.compile(WORD)
@@ -28,7 +28,8 @@ class SimHash:
 
     shingle: words of a shingle. lanes: 64-bit words of a fingerprint. repeats: whether a shingle
     counts as often as it occurs. max_bits: differing bits of linked fingerprints. tables: bits of
-    the fingerprint that form the key of each candidate table.
+    the fingerprint that form the key of each candidate table. block_rows: rows of a bucket that one
+    task compares at once.
     """
 
     shingle: int
@@ -36,6 +37,7 @@ class SimHash:
     repeats: bool
     max_bits: int
     tables: tuple[tuple[int, ...], ...]
+    block_rows: int = BLOCK_ROWS
 
 
 def pigeonhole(bits: int, blocks: int, max_bits: int) -> tuple[tuple[int, ...], ...]:
@@ -57,11 +59,11 @@ def sampled_blocks(bits: int, tables: int, width: int, seed: int = 5) -> tuple[t
 #: Three-word shingles, repeats included; two differing bits of 64. Exact: 6 tables of 32 bits.
 THREE_WORDS = SimHash(3, 1, True, 2, pigeonhole(64, 4, 2))
 #: Five-word shingle sets of Jaccard similarity 0.8 or more. Their cosine is 2J / (1 + J) = 0.889,
-#: an angle of 27.3 degrees, or 38.8 of 256 bits; three bits are added for the estimate's spread.
-#: No pigeonhole key is selective at this distance, so 64 blocks of 22 bits are drawn: they hold
-#: a pair of similarity 0.8 / 0.85 / 0.9 / 0.95 with probability 0.82 / 0.95 / 0.99 / 1. The width
-#: suits up to some 10^8 different texts; beyond, raise it with the logarithm of their number.
-FIVE_WORDS = SimHash(5, 4, False, 42, sampled_blocks(256, 64, 22))
+#: an angle of 27.3 degrees, or 77.7 of 512 bits; 84 are allowed, as the estimate spreads by 8.
+#: No pigeonhole key is selective at this distance, so 64 blocks of 20 bits are drawn: they hold
+#: a pair of similarity 0.8 / 0.85 / 0.9 / 0.95 with probability 0.91 / 0.98 / 0.999 / 1. The width
+#: suits up to some 10^7 different texts; beyond, raise it with the logarithm of their number.
+FIVE_WORDS = SimHash(5, 8, False, 84, sampled_blocks(512, 64, 20))
 
 
 def fingerprint(text: str | None, config: SimHash) -> np.ndarray:
@@ -78,10 +80,10 @@ def fingerprint(text: str | None, config: SimHash) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
     counts = np.zeros(64 * config.lanes, np.int64)
-    for start in range(0, len(hashes), 1 << 14):
-        part = hashes[start : start + (1 << 14)]
+    for start in range(0, len(hashes), 255):  # so many sums of one bit fit a byte
+        part = hashes[start : start + 255]
         lanes = np.stack([part if k == 0 else _mixed(part, k) for k in range(config.lanes)], 1)
-        counts += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(len(part), -1), 1, bitorder="little").sum(0, dtype=np.int64)
+        counts += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(len(part), -1), 1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
@@ -170,7 +172,7 @@ def near_components(prints: DataFrame, config: SimHash) -> DataFrame:
     rid = lane[0] if config.lanes == 1 else F.xxhash64(*[lane[k] for k in range(config.lanes)])
     distinct = materialize(prints.select("lanes").distinct().withColumn("rid", rid))
     keys = distinct.select("rid", "lanes").mapInArrow(_Keys(config), "key bigint, rid bigint, lanes array<bigint>")
-    roots = connected_components(map_buckets(keys, _Near(config), "a bigint, b bigint"))
+    roots = connected_components(map_buckets(keys, _Near(config), "a bigint, b bigint", config.block_rows))
     roots = roots.select(F.col("node").alias("rid"), "root")
     return distinct.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
@@ -201,22 +203,15 @@ def keep_one_each(docs: DataFrame, config: SimHash = FIVE_WORDS) -> DataFrame:
     the same id the least hash of the text wins, and of equal rows one stays.
     """
     arrow_rows(docs.sparkSession)
-    mark = F.xxhash64("text")
-    prints = docs.select("doc_id", mark.alias("mark"), fingerprint_column(F.col("text"), config).alias("lanes"))
+    prints = docs.select("doc_id", F.xxhash64("text").alias("mark"), fingerprint_column(F.col("text"), config).alias("lanes"))
     prints = materialize(prints)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
     first = prints.groupBy("lanes").agg(F.min(order).alias("first"))
     roots = near_components(prints, config)
     kept = roots.join(first, "lanes").groupBy("root").agg(F.min("first").alias("first"))
-    kept = materialize(kept.select(F.col("first.i").alias("__id"), F.col("first.m").alias("__mark")).distinct())
-    return one_row_each(docs, kept)
-
-
-def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of docs for each (__id, __mark): the doc_id and the hash of the text."""
-    from pyspark.sql import Window
-
-    marked = docs.select(*docs.columns, F.xxhash64("text").alias("__mark0"))
-    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark0") == F.col("__mark")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", "__mark0").orderBy(F.lit(0)))
-    return found.withColumn("__row", number).where("__row = 1").select(*docs.columns)
+    kept = materialize(kept.select(F.col("first.i").alias("id"), F.col("first.m").alias("mark")).distinct())
+    rows, restored = sheltered(docs)
+    marked = rows.withColumn("_mark", F.xxhash64("_text"))
+    found = marked.join(kept, F.col("_doc_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("_doc_id", "_mark").orderBy(F.lit(0)))
+    return found.withColumn("_row", number).where("_row = 1").select(*restored)

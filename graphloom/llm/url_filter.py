@@ -163,6 +163,8 @@ class UrlModel:
         keys = _keys(host, path)
         numbers = F.array(*lexical_features(F.col("url"), host, path).values())
         found = rows.select("y", numbers.alias("x"), *[v.alias(k) for k, v in keys.items()], F.pmod(F.xxhash64(F.lit(7), "url"), F.lit(2)).alias("half")).collect()
+        if not found:
+            return self
         y, half = np.array([r.y for r in found]), np.array([r.half for r in found])
         x = np.array([r.x for r in found]).reshape(len(found), -1)
         self.mean = float((y.sum() + 1) / (len(y) + 2))
@@ -172,7 +174,7 @@ class UrlModel:
             self.shares[k] = self._share(values, y)
             halves = [self._share(values[half != h], y[half != h]) for h in (0, 1)]
             extra.append([halves[h].get(v, self.mean) for v, h in zip(values, half, strict=True)])
-        self.trees.fit(np.column_stack([x, *extra]) if len(found) else x, y)
+        self.trees.fit(np.column_stack([x, *extra]), y)
         return self
 
     def _share(self, values: np.ndarray, y: np.ndarray) -> dict[str, float]:
