@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_rows
-from graphloom.llm.pieces import BPE, MODEL_PATH, SPACE, PieceModel, model_of, read_model
+from graphloom.llm.pieces import BPE, END, MODEL_PATH, SPACE, PieceModel, model_of, read_model
 
-#: Pre-tokens, and pairs of pieces, of which a worker keeps the result.
+#: Pre-tokens and pairs of pieces, and states, of which a worker keeps the result.
 MOST_KEPT = 400_000
-_END = ""
+MOST_STATES = 500_000
 
 
 class PieceTransducer:
@@ -26,7 +26,9 @@ class PieceTransducer:
     each piece's end back to the start, writing the piece's number at the cost -score; a character
     that no piece holds has an arc of its own, writing bytes. Composed with an input, its states
     at the start are the input's positions, and an encoding is a path of least cost (tropical
-    semiring: min, +). No piece reaches over a pre-token's end, so each pre-token is a path.
+    semiring: min, +). No piece reaches over a pre-token's end, so each pre-token is a path. The
+    best way to a position depends on the characters before it alone; so inputs that begin alike
+    share their states, each with its cost, its last piece and the state that this piece left.
 
     For merge-rank (BPE) models the costs of a path say nothing: right is what merging pair by pair
     in the order of ranks gives. A sequence of pieces is that exactly if each two neighbours, as a
@@ -36,14 +38,15 @@ class PieceTransducer:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.trie: dict = {}
-        for piece in model.scores:
-            node = self.trie
-            for character in piece:
-                node = node.setdefault(character, {})
-            node[_END] = piece
+        self.merges = model.kind == BPE
         self.kept: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.traces: dict[tuple[str, int], tuple | None] = {}  # two for each piece at most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.following: dict[int, int] = {}  # state and character -> state
+        self.cost, self.last, self.left = [0.0], [""], [0]
 
     def encode(self, text: str) -> list[int]:
         """The numbers of a text."""
@@ -58,53 +61,61 @@ class PieceTransducer:
             out.extend(ids)
         return out
 
-    def arcs(self, text: str, start: int) -> Iterator[tuple[int, str]]:
-        """(end, piece) of the pieces at a position."""
-        node = self.trie
-        for end in range(start, len(text)):
-            node = node.get(text[end])
-            if node is None:
-                return
-            if _END in node:
-                yield end + 1, node[_END]
-
     def _path(self, text: str) -> list[int]:
-        merges = self.model.kind == BPE
-        if merges and text.startswith(SPACE * 2):
+        if self.merges and text.startswith(SPACE * 2):
             # Pieces of several spaces share one rank, so their neighbours don't decide alone.
             return self._numbers(self._merged(text))
-        n = len(text)
-        cost: list[float] = [0.0] + [float("inf")] * n
-        last: list[str | None] = [None] * (n + 1)
-        for start in range(n):
-            if cost[start] == float("inf"):
-                continue
-            before = last[start]
-            single = False
-            for end, piece in self.arcs(text, start):
-                single = single or end == start + 1
-                if merges:
-                    if cost[end] and (before is None or self._stay_apart(before, piece)):
-                        cost[end], last[end] = 0.0, piece
-                else:
-                    total = cost[start] - self.model.scores[piece]
-                    if total < cost[end]:
-                        cost[end], last[end] = total, piece
-            if not single:
-                total = 0.0 if merges else cost[start] - self.model.unknown_score
-                if total < cost[start + 1]:
-                    cost[start + 1], last[start + 1] = total, text[start]
+        if len(self.cost) > MOST_STATES:
+            self._clear()
+        following, state, states = self.following, 0, [0]
+        for end, character in enumerate(text, 1):
+            key = state << 21 | ord(character)
+            state = following.get(key, 0)
+            if not state:
+                state = following[key] = self._arrive(text, end, states)
+            states.append(state)
         pieces = []
-        at = n
-        while at:
-            pieces.append(last[at])
-            at -= len(last[at])
+        while state:
+            pieces.append(self.last[state])
+            state = self.left[state]
         return self._numbers(reversed(pieces))
 
+    def _arrive(self, text: str, end: int, states: list[int]) -> int:
+        """A new state for the first `end` characters, with the best arc that leads there."""
+        found = []  # (start, piece), the longest last
+        node, start = self.model.backwards, end
+        while start:
+            start -= 1
+            node = node.get(text[start])
+            if node is None:
+                break
+            if END in node:
+                found.append((start, node[END]))
+        cost, last = self.cost, self.last
+        if not found or found[0][0] != end - 1:
+            found.insert(0, (end - 1, text[end - 1]))
+        best, start, piece = None, *found[0]
+        if self.merges:
+            for at, one in reversed(found):
+                before = last[states[at]]
+                if not at or self._stay_apart(before, one):
+                    best, start, piece = 0.0, at, one
+                    break
+        else:
+            for at, one in found:
+                total = cost[states[at]] - self.model.scores.get(one, self.model.unknown_score)
+                if best is None or total <= best:
+                    best, start, piece = total, at, one
+        cost.append(best or 0.0)
+        last.append(piece)
+        self.left.append(states[start])
+        return len(cost) - 1
+
     def _numbers(self, pieces) -> list[int]:
         out: list[int] = []
+        ids = self.model.ids
         for piece in pieces:
-            number = self.model.ids.get(piece)
+            number = ids.get(piece)
             out.extend(self.model.fallback(piece) if number is None else (number,))
         return out
 
@@ -113,22 +124,63 @@ class PieceTransducer:
         if known is None:
             if len(self.pairs) >= MOST_KEPT:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._merged(left + right) == [left, right]
+            known = self.pairs[left, right] = self._no_merge_between(left, right)
         return known
 
-    def _merged(self, text: str) -> list[str]:
+    def _no_merge_between(self, left: str, right: str) -> bool:
+        """Whether merging left + right never joins the two.
+
+        Until it does, each is merged as it would be alone, the better-scored step of the two
+        first. A merge over the boundary comes first if it scores more than left's next step (which
+        would win a tie, being further left) and no less than right's.
+        """
+        before, after = self._trace(left, -1), self._trace(right, 0)
+        if before is None or after is None:
+            return False
+        (steps, ends), (steps_after, starts) = before, after
+        score, none, i, j = self.model.scores.get, -float("inf"), 0, 0
+        while True:
+            own, next_ = steps[i], steps_after[j]
+            over = score(ends[i] + starts[j], none)
+            if over > own and over >= next_:
+                return False
+            if own == next_ == none:
+                return True
+            if own >= next_:
+                i += 1
+            else:
+                j += 1
+
+    def _trace(self, piece: str, side: int) -> tuple[list[float], list[str]] | None:
+        """The scores of a piece's own merges in order (then minus infinity) and what stands at one
+        side before each and in the end; None if merging does not lead to the piece."""
+        found = self.traces.get((piece, side), 0)
+        if found == 0:
+            steps: list[float] = []
+            sides: list[str] = []
+            whole = self._merged(piece, steps, sides, side) == [piece]
+            found = self.traces[piece, side] = ([*steps, -float("inf")], sides) if whole else None
+        return found
+
+    def _merged(self, text: str, steps: list[float] | None = None, sides: list[str] | None = None, side: int = 0) -> list[str]:
         """Characters merged pair by pair, of the best-scored piece first, leftmost of equals."""
-        scores = self.model.scores
+        score, none = self.model.scores.get, -float("inf")
         parts = list(text)
-        while True:
-            best, at = -float("inf"), -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and score > best:
-                    best, at = score, i
-            if at < 0:
-                return parts
+        gains = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        if sides is not None:
+            sides.append(parts[side])
+        while gains and (best := max(gains)) > none:
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], none)
+            if sides is not None:
+                steps.append(best)
+                sides.append(parts[side])
+        return parts
 
 
 @lru_cache(maxsize=1)

@@ -13,6 +13,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
+#: The key under which a trie's node holds the piece that ends there.
+END = ""
 
 
 def read_model(path: str = MODEL_PATH) -> bytes:
@@ -73,11 +75,31 @@ class PieceModel:
             raise ValueError("models with user-defined pieces are not supported")
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
             raise ValueError("pieces that contain a space after a character are not supported")
-        self.longest = max(map(len, self.scores), default=1)
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
+        #: The pieces as a trie of their characters from last to first.
+        self.backwards: dict = {}
+        for piece in self.scores:
+            node = self.backwards
+            for character in reversed(piece):
+                node = node.setdefault(character, {})
+            node[END] = piece
         self.characters = frozenset("".join(self.scores))
-        apart = "\n" if "\n" not in self.characters else ""
-        self._pretoken = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + ("|\n" if apart else ""))
+        self._pretoken = re.compile(self._cuts())
+
+    def _cuts(self) -> str:
+        """Matches the parts of a text that no piece reaches across the ends of.
+
+        A part ends before a space that follows another character (pieces have spaces at their
+        start only) and, if that's so in all pieces, around a line end and between a Latin letter
+        and those signs that no piece has after one.
+        """
+        latin, lines = "A-Za-zÀ-ÖØ-öø-ɏ", "\n" if "\n" not in self.characters else ""
+        after = {b for p in self.scores for a, b in zip(p, p[1:], strict=False) if re.match(f"[{latin}]", a)}
+        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+        letter, other = f"[{latin}]", f"[^{latin}{SPACE}{lines}]"
+        onward = f"[^{latin}{SPACE}{lines}{signs}]"
+        part = f"{SPACE}*{other}*{letter}+(?:{onward}{other}*{letter}*)*|{SPACE}*{other}+|{SPACE}+"
+        return part + ("|\n" if lines else "")
 
     def _add(self, fields: dict) -> None:
         text, kind = fields[1].decode(), fields.get(3, NORMAL)

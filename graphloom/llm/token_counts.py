@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_rows
-from graphloom.llm.pieces import MODEL_PATH, PieceModel, model_of, read_model
+from graphloom.llm.pieces import END, MODEL_PATH, PieceModel, model_of, read_model
 
 #: Nodes of a worker's trie; a fuller one is begun anew, which changes no count.
 MOST_NODES = 500_000
@@ -36,7 +36,7 @@ class CountingTrie:
 
     def insert(self, pretoken: str) -> int:
         following, score, tokens = self.next, self.score, self.tokens
-        scores, longest = self.model.scores, self.model.longest
+        scores, backwards = self.model.scores, self.model.backwards
         path = [0]
         node = 0
         for end, character in enumerate(pretoken, 1):
@@ -44,10 +44,16 @@ class CountingTrie:
             node = following.get(key, 0)
             if not node:
                 best, count = -float("inf"), 0
-                for start in range(max(0, end - longest), end):
-                    piece = scores.get(pretoken[start:end])
-                    if piece is not None and score[path[start]] + piece > best:
-                        best, count = score[path[start]] + piece, tokens[path[start]] + 1
+                start, piece = end, backwards
+                while start:  # the pieces that end here, the shorter first
+                    start -= 1
+                    piece = piece.get(pretoken[start])
+                    if piece is None:
+                        break
+                    if END in piece:
+                        total = score[path[start]] + scores[piece[END]]
+                        if total >= best:
+                            best, count = total, tokens[path[start]] + 1
                 if character not in scores and score[path[-1]] + self.model.unknown_score > best:
                     best = score[path[-1]] + self.model.unknown_score
                     count = tokens[path[-1]] + len(self.model.fallback(character))
