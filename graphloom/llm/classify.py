@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import labelled_sample
+from graphloom.llm.common import labelled_sample, let
+from graphloom.llm.fingerprints import shingle_hashes
 
 
 def score_column(text: Column, score: Callable[[list[str]], np.ndarray]) -> Column:
@@ -23,6 +24,17 @@ def score_column(text: Column, score: Callable[[list[str]], np.ndarray]) -> Colu
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of the training sample; the sample's ids (2 * per_class rows at most) are broadcast."""
+    """(doc_id, text, y) of the training sample; the sample's ids (2 * per_class rows at most) are broadcast.
+
+    Of exact and near copies in the sample one stays, else words that only they share would look
+    like signs of their label. Texts whose least, or greatest, shingle hash is the same count as
+    copies; at a similarity of 0.9 that finds 99 of 100.
+    """
     chosen = labelled_sample(labels, label, modulus, held_out, per_class)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    hashes = shingle_hashes(F.col("text"))
+    rows = rows.withColumn("ends", let(hashes, lambda h: F.struct(F.array_min(h).alias("least"), F.array_max(h).alias("most"))))
+    for end in ("least", "most"):
+        order = Window.partitionBy(f"ends.{end}").orderBy("doc_id", "text", "y")
+        rows = rows.withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy")
+    return rows.select("doc_id", "text", "y")

@@ -20,6 +20,10 @@ PER_CLASS = 4000
 #: Entries of the learned lexicon at most, and toxic training texts that must hold an entry.
 LEXICON = 2000
 SUPPORT = 3
+#: The least share of toxic training texts that hold an entry, and what is added to either share
+#: before they are compared; as shares, they mean the same for samples of any size.
+SUPPORT_SHARE = 0.005
+SMOOTHING = 0.001
 #: Lengths of the word beginnings that stand for a word's forms.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -157,8 +161,10 @@ class ToxicityModel:
 
     @staticmethod
     def _lexicon(names: list[str], counts: np.ndarray, totals: np.ndarray) -> Lexicon:
-        odds = np.log((counts[:, 1] + 0.1) / (totals[1] + 1)) - np.log((counts[:, 0] + 0.1) / (totals[0] + 1))
-        keep = [i for i in np.argsort(-odds, kind="stable") if odds[i] > 1 and counts[i, 1] >= max(2, SUPPORT - 1)][:LEXICON]
+        share = counts / np.maximum(totals, 1)
+        odds = np.log((share[:, 1] + SMOOTHING) / (share[:, 0] + SMOOTHING))
+        least = max(SUPPORT - 1, SUPPORT_SHARE * totals[1])
+        keep = [i for i in np.argsort(-odds, kind="stable") if odds[i] > 1 and counts[i, 1] >= least][:LEXICON]
         return Lexicon({names[i]: float(odds[i]) for i in keep})
 
     def score(self, texts: list[str]) -> np.ndarray:
