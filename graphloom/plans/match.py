@@ -26,6 +26,8 @@ class Matcher:
         self.semantics, self.rel_uniqueness = semantics, rel_uniqueness
         self.numbers = itertools.count()
         self.steps: list[str] = []  # the logical plan, line by line
+        #: Tables and needs of an outer node that an optional pattern starts from anew.
+        self.seeds: dict[str, tuple[list, Need]] = {}
 
     def fresh(self, name: str | None) -> str:
         return f"{name or 'anon'}_{next(self.numbers)}"
@@ -78,6 +80,18 @@ class Matcher:
             scope = {**frame.scope, **inner.scope}
             joined = outer.join(inner.df, F.lit(True), "left")
             return Frame(joined, scope)
+        hops = sum(1 if isinstance(r, a.RelPattern) and r.length is None else 2 for p in clause.parts for r in p.chain.rels)
+        if len(imported) == 1 and hops == 1 and len(clause.parts) == 1 and not clause.parts[0].variable:
+            # One hop from one node: its table has to be read anyway, so it is joined as it is.
+            (name, var), *_ = imported.items()
+            if isinstance(var, NodeVar) and sum(n.variable == name for n in clause.parts[0].chain.nodes) == 1:
+                self.seeds = {name: (var.tables, Needs([clause.parts, clause.where]).of[name])}
+                inner = self._parts(Frame(None, {}), clause)
+                self.seeds = {}
+                own = inner.scope.pop(name)
+                rows = inner.df.select(F.col(own.prefix).alias("__in"), *inner.columns())
+                self.steps.append("Optional")
+                return Frame(outer.join(rows, F.col(var.prefix) == F.col("__in"), "left").drop("__in"), {**frame.scope, **inner.scope})
         inner = self._parts(Frame(outer.select(*keys).distinct(), imported), clause)
         new = [c for c in inner.columns() if c not in keys]
         renamed = inner.df.select(*[F.col(c).alias(f"__in_{c}") for c in keys], *new)
@@ -106,9 +120,10 @@ class Matcher:
             raise SemanticError(f"Relationship variable {repeated[0]} is used more than once in {part}")
         before = list(frame.scope)
         at = next((i for i, n in enumerate(names) if n in frame.scope), 0)
-        frame = self._node(frame, names[at], chain.nodes[at], whole)
+        unread = self._unread(frame, names[at], chain, whole)
+        frame = Frame(frame.df, {**frame.scope, names[at]: unread}) if unread else self._node(frame, names[at], chain.nodes[at], whole)
         for i in range(at, len(chain.rels)):
-            frame = self._step(frame, names[i], chain.rels[i], rel_names[i], names[i + 1], chain.nodes[i + 1], trail, whole, False)
+            frame = self._step(frame, names[i], chain.rels[i], rel_names[i], names[i + 1], chain.nodes[i + 1], trail, whole, False, unread is not None and i == 0)
         for i in range(at - 1, -1, -1):
             frame = self._step(frame, names[i + 1], chain.rels[i], rel_names[i], names[i], chain.nodes[i], trail, whole, True)
         steps = [frame.scope[names[0]]]
@@ -144,6 +159,9 @@ class Matcher:
 
     def _new_node(self, name: str, pattern: a.NodePattern, tables, whole: bool) -> NodeVar:
         need = self._need(name, whole)
+        if name in self.seeds:
+            seeded, need = self.seeds[name]
+            tables = [t for t in tables if any(t is x for x in seeded)]
         keys = need.keys | {k for k, _ in (pattern.properties.items if pattern.properties else ())} | _keys_of(pattern.where, pattern.variable)
         var = NodeVar(self.fresh(name.strip()), list(tables), set(), need.whole, need.labels or _asks_labels(pattern))
         types = var.types()
@@ -165,6 +183,23 @@ class Matcher:
             frame = self._restrict(frame, name, var, tables)
         return self._inline(frame, name, pattern)
 
+    def _unread(self, frame: Frame, name: str, chain: a.Chain, whole: bool) -> NodeVar | None:
+        """The first node, if its table need not be read: only its id is used, and all that the
+        first relationship starts from is of its label. The relationship's column then stands for it."""
+        node, rel = chain.nodes[0], chain.rels[0] if chain.rels else None
+        if name in frame.scope or node.properties or node.where is not None or not isinstance(rel, a.RelPattern) or rel.length is not None:
+            return None
+        tables = self._candidates(node.labels)
+        var = self._new_node(name, node, tables, whole)
+        tables = var.tables
+        if var.keys or var.labels or name == (chain.nodes[1].variable or ""):
+            return None
+        found = expand.branches(self.graph, rel.types, rel.direction)
+        kept, _, _ = expand.feasible(found, tables, self._candidates(chain.nodes[1].labels), self.graph.nodes)
+        allowed = {id(t) for t in tables}
+        certain = all(id(t) in allowed for b in kept for t in expand.with_label(self.graph.nodes, b.src_label))
+        return var if certain else None
+
     def _restrict(self, frame: Frame, name: str, var: NodeVar, tables) -> Frame:
         """Labels asked of a bound node: other tables' nodes go."""
         kept = [t for t in var.tables if any(t is x for x in tables)]
@@ -191,7 +226,8 @@ class Matcher:
             self.steps.append(f"Filter {test}")
         return frame
 
-    def _step(self, frame: Frame, from_: str, rel, rel_name: str, to: str, node: a.NodePattern, trail: bool, whole: bool, backwards: bool) -> Frame:
+    def _step(self, frame: Frame, from_: str, rel, rel_name: str, to: str, node: a.NodePattern, trail: bool, whole: bool, backwards: bool, unread: bool = False) -> Frame:
+        """unread: the node that the step starts from has no column yet; the relationships bring it."""
         if isinstance(rel, a.Quantified):
             return self._quantified(frame, from_, rel, rel_name, to, node, trail, backwards)
         direction = {a.OUT: a.IN, a.IN: a.OUT}.get(rel.direction, rel.direction) if backwards else rel.direction
@@ -214,12 +250,15 @@ class Matcher:
             var.keys = set(types) if need.whole else {k for k in keys if k in types}
             named = not rel_name.startswith(HIDDEN)
             var.has_id = need.whole or self.rel_uniqueness == "trail" or (named and self._id_used(rel_name))
-            source = self.fresh("start")
+            source = start.prefix if unread else self.fresh("start")
             rows = expand.scan_rels(self.spark, kept, var, source, target)
-            on = F.col(start.prefix) == F.col(source)
+            on = F.lit(True) if unread else F.col(start.prefix) == F.col(source)
             if bound is not None:
                 on = on & (F.col(bound.prefix) == F.col(target))
-            df = frame.df.join(rows, on).drop(source)
+            if unread:
+                df = rows if frame.df is None else frame.df.join(rows, on) if bound is not None else frame.df.crossJoin(rows)
+            else:
+                df = frame.df.join(rows, on).drop(source)
             frame = Frame(df, {**frame.scope, rel_name: var})
             self.steps.append(f"Expand{'Into' if bound else 'All'} {from_.strip()} {rel} {to.strip()} {[b.table.type for b in kept]}")
             frame = self._inline(frame, rel_name, rel)
