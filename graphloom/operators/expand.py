@@ -88,18 +88,36 @@ def feasible(found: list[Branch], from_: list[NodeTable], to: list[NodeTable], a
     return kept, led, certain
 
 
-def scan_rels(spark, kept: list[Branch], var: RelVar, src: str, dst: str) -> DataFrame:
-    """Columns src, dst and those of var over the branches."""
+def in_row(kept: list[Branch], side: str, tables: list[NodeTable], all_nodes: list[NodeTable]) -> bool:
+    """Whether every branch's node at a side ("src" or "dst") is the relationship's own row."""
+    for b in kept:
+        label = b.src_label if side == "src" else b.dst_label
+        if b.table.row_side != getattr(b, side) or not any(b.table.row_node is t for t in tables):
+            return False
+        if [id(t) for t in with_label(all_nodes, label)] != [id(b.table.row_node)]:
+            return False
+    return bool(kept)
+
+
+def scan_rels(spark, kept: list[Branch], var: RelVar, src: str, dst: str, at_src: NodeVar | None = None, at_dst: NodeVar | None = None) -> DataFrame:
+    """Columns src, dst and those of var over the branches.
+
+    at_src and at_dst are nodes whose columns the relationships' rows hold, see in_row().
+    """
     types = var.types()
     parts = []
     for b in kept:
-        df = b.table.with_ids() if var.has_id else b.table.df
+        df = b.table.wide if at_src or at_dst else b.table.with_ids() if var.has_id else b.table.df
         columns = [F.col(b.src).alias(src), F.col(b.dst).alias(dst)]
         if var.has_id:
             columns.append(F.col("id").alias(var.prefix))
         columns += [property_column(b.table, k, types[k]).alias(f"{var.prefix}__{k}") for k in sorted(var.keys)]
         if var.whole:
             columns += [F.lit(b.table.type).alias(f"{var.prefix}__rtype"), F.col("start").alias(f"{var.prefix}__start"), F.col("end").alias(f"{var.prefix}__end")]
+        for node in filter(None, (at_src, at_dst)):
+            columns += [property_column(b.table.row_node, k, v, "n__").alias(f"{node.prefix}__{k}") for k, v in node.types().items() if k in node.keys]
+            if node.labels:
+                columns.append(F.array(*[F.lit(x) for x in b.table.row_node.labels]).alias(f"{node.prefix}__labels"))
         parts.append(df.select(*columns))
     if parts:
         return union_all(parts)

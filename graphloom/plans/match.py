@@ -123,7 +123,7 @@ class Matcher:
         unread = self._unread(frame, names[at], chain, whole)
         frame = Frame(frame.df, {**frame.scope, names[at]: unread}) if unread else self._node(frame, names[at], chain.nodes[at], whole)
         for i in range(at, len(chain.rels)):
-            frame = self._step(frame, names[i], chain.rels[i], rel_names[i], names[i + 1], chain.nodes[i + 1], trail, whole, False, unread is not None and i == 0)
+            frame = self._step(frame, names[i], chain.rels[i], rel_names[i], names[i + 1], chain.nodes[i + 1], trail, whole, False, chain.nodes[0] if unread and i == 0 else None)
         for i in range(at - 1, -1, -1):
             frame = self._step(frame, names[i + 1], chain.rels[i], rel_names[i], names[i], chain.nodes[i], trail, whole, True)
         steps = [frame.scope[names[0]]]
@@ -184,18 +184,20 @@ class Matcher:
         return self._inline(frame, name, pattern)
 
     def _unread(self, frame: Frame, name: str, chain: a.Chain, whole: bool) -> NodeVar | None:
-        """The first node, if its table need not be read: only its id is used, and all that the
-        first relationship starts from is of its label. The relationship's column then stands for it."""
+        """The first node, if its table need not be read: all that the first relationship starts
+        from is of its label, and only its id is used, or its row is the relationship's own."""
         node, rel = chain.nodes[0], chain.rels[0] if chain.rels else None
-        if name in frame.scope or node.properties or node.where is not None or not isinstance(rel, a.RelPattern) or rel.length is not None:
+        if name in frame.scope or not isinstance(rel, a.RelPattern) or rel.length is not None:
             return None
         tables = self._candidates(node.labels)
         var = self._new_node(name, node, tables, whole)
         tables = var.tables
-        if var.keys or var.labels or name == (chain.nodes[1].variable or ""):
+        if name == (chain.nodes[1].variable or ""):
             return None
         found = expand.branches(self.graph, rel.types, rel.direction)
         kept, _, _ = expand.feasible(found, tables, self._candidates(chain.nodes[1].labels), self.graph.nodes)
+        if (var.keys or var.labels) and not expand.in_row(kept, "src", tables, self.graph.nodes):
+            return None
         allowed = {id(t) for t in tables}
         certain = all(id(t) in allowed for b in kept for t in expand.with_label(self.graph.nodes, b.src_label))
         return var if certain else None
@@ -226,8 +228,10 @@ class Matcher:
             self.steps.append(f"Filter {test}")
         return frame
 
-    def _step(self, frame: Frame, from_: str, rel, rel_name: str, to: str, node: a.NodePattern, trail: bool, whole: bool, backwards: bool, unread: bool = False) -> Frame:
-        """unread: the node that the step starts from has no column yet; the relationships bring it."""
+    def _step(self, frame: Frame, from_: str, rel, rel_name: str, to: str, node: a.NodePattern, trail: bool, whole: bool, backwards: bool, from_node: a.NodePattern | None = None) -> Frame:
+        """from_node: the pattern of the node that the step starts from, if it has no columns yet and
+        the relationships bring them."""
+        unread = from_node is not None
         if isinstance(rel, a.Quantified):
             return self._quantified(frame, from_, rel, rel_name, to, node, trail, backwards)
         direction = {a.OUT: a.IN, a.IN: a.OUT}.get(rel.direction, rel.direction) if backwards else rel.direction
@@ -251,7 +255,14 @@ class Matcher:
             named = not rel_name.startswith(HIDDEN)
             var.has_id = need.whole or self.rel_uniqueness == "trail" or (named and self._id_used(rel_name))
             source = start.prefix if unread else self.fresh("start")
-            rows = expand.scan_rels(self.spark, kept, var, source, target)
+            end = None if bound is not None else self._new_node(to, node, led, whole)
+            own = end is not None and bool(end.keys or end.labels) and expand.in_row(kept, "dst", led, self.graph.nodes)
+            if own:
+                certain = True
+            read = start if unread and (start.keys or start.labels) else None
+            if read and own:
+                own, certain = False, False  # one row can't be both ends' nodes
+            rows = expand.scan_rels(self.spark, kept, var, source, target, read, end if own else None)
             on = F.lit(True) if unread else F.col(start.prefix) == F.col(source)
             if bound is not None:
                 on = on & (F.col(bound.prefix) == F.col(target))
@@ -262,6 +273,8 @@ class Matcher:
             frame = Frame(df, {**frame.scope, rel_name: var})
             self.steps.append(f"Expand{'Into' if bound else 'All'} {from_.strip()} {rel} {to.strip()} {[b.table.type for b in kept]}")
             frame = self._inline(frame, rel_name, rel)
+            if unread:
+                frame = self._inline(frame, from_, from_node)
         else:
             var = RelListVar(self.fresh(rel_name.strip()), [b.table for b in found], need.whole)
             steps = expand.step_rows(self.spark, found, var, [])
@@ -280,8 +293,9 @@ class Matcher:
         if bound is not None:
             frame = Frame(frame.df.drop(target), frame.scope)
             return self._node(frame, to, node, whole)
-        end = self._new_node(to, node, led, whole)
-        if certain and not end.keys and not end.whole:
+        if rel.length is not None:
+            end, own = self._new_node(to, node, led, whole), False
+        if own or (certain and not end.keys and not end.labels):
             df = frame.df.withColumnRenamed(target, end.prefix)
         else:
             df = frame.df.join(expand.scan_nodes(self.spark, end), F.col(target) == F.col(end.prefix)).drop(target)

@@ -95,11 +95,11 @@ def merged_types(tables: list) -> dict[str, Type]:
     return {k: common(v) for k, v in found.items()}
 
 
-def property_column(table, key: str, kind: Type) -> Column:
+def property_column(table, key: str, kind: Type, prefix: str = "") -> Column:
     """A table's property as the merged type, or a null of it."""
     if key not in table.types:
         return F.lit(None).cast(spark_type(kind))
-    return ops.cast(Value(F.col(f"`{key}`"), table.types[key]), kind)
+    return ops.cast(Value(F.col(f"`{prefix}{key}`"), table.types[key]), kind)
 
 
 def props_struct(prefix: str, types: dict[str, Type]) -> list[Column]:

@@ -35,6 +35,11 @@ class RelTable:
     start_label: str | None = None
     end_label: str | None = None
     base: int = 0
+    #: The end ("start" or "end") whose node is the same row of the same table, if there is one, that
+    #: node's table, and df with the node's properties as columns `n__<property>`.
+    row_side: str | None = None
+    row_node: NodeTable | None = None
+    wide: DataFrame | None = None
 
     def with_ids(self) -> DataFrame:
         """df with ids; they are given once and stored, since row numbers of a plan that runs again
@@ -85,11 +90,17 @@ class PropertyGraph:
                 return key.cast("bigint") + F.lit(number * ID_BLOCK)
         raise SemanticError(f"no nodes are registered for label {label}")
 
-    def add_rels(self, kind: str, df: DataFrame, start: tuple[str, str | Column], end: tuple[str, str | Column], key: str | None = None, properties: list[str] | None = None) -> PropertyGraph:
+    def add_rels(self, kind: str, df: DataFrame, start: tuple[str, str | Column], end: tuple[str, str | Column], key: str | None = None, properties: list[str] | None = None, row_is: str | None = None) -> PropertyGraph:
         """Registers df's rows as relationships from start to end, each a (label, key column).
 
-        key is a unique integer column; without one, ids are given when first asked for.
+        key is a unique integer column; without one, ids are given when first asked for. row_is is
+        "start" or "end" if df is the table that this end's nodes were registered from: a row is
+        then both the node and its relationship, and no query joins the table to itself. Rows without
+        a start or an end are no relationships. Both nodes have to exist: queries that use no
+        property of a node don't look for it.
         """
+        for _, c in (start, end):
+            df = df.where(F.col(c).isNotNull()) if isinstance(c, str) else df
         self.tables += 1
         base = self.tables * ID_BLOCK
         names = properties if properties is not None else df.columns
@@ -98,8 +109,13 @@ class PropertyGraph:
         columns = [ends[0].alias("start"), ends[1].alias("end")]
         if key is not None:
             columns.insert(0, (F.col(key).cast("bigint") + F.lit(base)).alias("id"))
-        rows = df.select(*columns, *[_stored(F.col(n), types[n]).alias(n) for n in names])
-        self.rels.append(RelTable(kind, rows, types, start[0], end[0], base))
+        own = [_stored(F.col(n), types[n]).alias(n) for n in names]
+        table = RelTable(kind, df.select(*columns, *own), types, start[0], end[0], base)
+        if row_is is not None and key is not None:
+            label = start[0] if row_is == "start" else end[0]
+            table.row_side, table.row_node = row_is, next(t for t in self.nodes if label in t.labels)
+            table.wide = df.select(*columns, *own, *[_stored(F.col(n), v).alias(f"n__{n}") for n, v in table.row_node.types.items()])
+        self.rels.append(table)
         return self
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master.startswith("local[") or master == "local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="graphloom-"))
+    if "dir" not in _own_dir:
+        _own_dir["dir"] = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, _own_dir["dir"], ignore_errors=True)
+    return "file://" + _own_dir["dir"]
+
+
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file to the shared folder; returns its address."""
+    address = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(address)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(data))
+    stream.close()
+    return address
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def sales_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     g.add_nodes("Region", region, "r_regionkey").add_nodes("Nation", nation, "n_nationkey")
     g.add_nodes(("Customer", "Party"), customer, "c_custkey").add_nodes(("Supplier", "Party"), supplier, "s_suppkey")
     g.add_nodes("Part", part, "p_partkey").add_nodes("Order", orders, "o_orderkey")
-    g.add_rels("IN_REGION", nation, ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey", [])
-    g.add_rels("IN_NATION", customer, ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "c_custkey", [])
-    g.add_rels("IN_NATION", supplier, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey", [])
-    g.add_rels("PLACED", orders, ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderkey", [])
+    g.add_rels("IN_REGION", nation, ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey", [], "start")
+    g.add_rels("IN_NATION", customer, ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "c_custkey", [], "start")
+    g.add_rels("IN_NATION", supplier, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey", [], "start")
+    g.add_rels("PLACED", orders, ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderkey", [], "end")
     line = [c for c in lineitem.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]
     g.add_rels("CONTAINS", lineitem, ("Order", "l_orderkey"), ("Part", "l_partkey"), None, line)
     g.add_rels("SUPPLIED_BY", lineitem, ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), None, line)
@@ -36,7 +36,7 @@ def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     users = events.select("user_id").distinct()
     g = PropertyGraph()
     g.add_nodes("User", users, "user_id").add_nodes("Event", events, "event_id")
-    g.add_rels("DID", events, ("User", "user_id"), ("Event", "event_id"), "event_id", [])
+    g.add_rels("DID", events, ("User", "user_id"), ("Event", "event_id"), "event_id", [], "end")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     following = events.select("event_id", "user_id", F.lead("event_id").over(order).alias("next_id")).where("next_id is not null")
     g.add_rels("NEXT", following, ("Event", "event_id"), ("Event", "next_id"), "event_id", [])
