@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import discard, materialize, shared_dir
+from graphloom.sources.shared import discard, materialize, put_file, shared_dir
 
 __all__ = ["discard", "materialize", "shared_dir"]
 
@@ -39,12 +39,11 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parents[2]
-    path = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
-    with zipfile.ZipFile(path, "w") as archive:
+    root, packed = Path(__file__).resolve().parents[2], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
         for file in sorted((root / "graphloom").rglob("*.py")):
             archive.write(file, file.relative_to(root))
-    context.addPyFile(str(path))
+    context.addPyFile(put_file(spark, "graphloom.zip", packed.getvalue()))
     _shipped.add(context.applicationId)
 
 
