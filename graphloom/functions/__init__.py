@@ -1 +1 @@
-"""Property-graph queries on Spark DataFrames."""
+"""Types, operators and functions of expressions."""

@@ -1 +1 @@
-"""Property-graph queries on Spark DataFrames."""
+"""Scans, expansions and changes as DataFrame operations."""

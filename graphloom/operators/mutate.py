@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import ConstraintError, NotSupported, SemanticError
 from graphloom.functions import operators as ops
-from graphloom.functions.types import NULL, STRING, Type, Value, common, spark_type
+from graphloom.functions.types import NULL, STRING, Type, Value, common, of_spark, spark_type
 from graphloom.plans import ast as a
 from graphloom.plans.scope import Evaluator, Frame, NodeVar, RelVar
 from graphloom.sources.graph import Constraint, NodeTable, PropertyGraph, RelTable
@@ -99,6 +99,25 @@ def create(spark, graph: PropertyGraph, frame: Frame, clause: a.Create, params:
     return graph, Frame(df, {k: v for k, v in scope.items() if not k.startswith("  ")})
 
 
+def append_nodes(graph: PropertyGraph, labels: tuple[str, ...], df: DataFrame) -> PropertyGraph:
+    """A graph with a node for every row of df, its columns as properties; constraints are tested.
+
+    The bulk form of CREATE: rows are stored and numbered where they are, none pass the driver.
+    """
+    graph = graph.copy()
+    types = {f.name: of_spark(f.dataType) for f in df.schema.fields}
+    _storable(types)
+    stored = df.select(*[F.col(f"`{k}`").cast(spark_type(v)).alias(k) for k, v in types.items()])
+    rows, count = _numbered(stored)
+    rows = materialize(rows.select((F.col("__n") + graph.next_node).alias("id"), *types))
+    graph.next_node += count
+    graph.nodes = _with_nodes(graph.nodes, NodeTable(labels, rows, types))
+    for constraint in graph.constraints.values():
+        if constraint.entity == "node" and constraint.label in labels:
+            validate(graph, constraint)
+    return graph
+
+
 def _storable(types: dict[str, Type]) -> None:
     for k, kind in types.items():
         if kind.name in ("Duration", "Map", "Node", "Rel", "Path"):

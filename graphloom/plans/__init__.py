@@ -1 +1 @@
-"""Property-graph queries on Spark DataFrames."""
+"""From statements to DataFrames."""

@@ -1 +1 @@
-"""Property-graph queries on Spark DataFrames."""
+"""Graphs, their tables, and files."""

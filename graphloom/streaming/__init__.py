@@ -1 +1 @@
-"""Property-graph queries on Spark DataFrames."""
+"""Graphs fed by Structured Streaming."""
