@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,7 +65,7 @@ class PieceTransducer:
     def _path(self, text: str) -> list[int]:
         if self.merges and text.startswith(SPACE * 2):
             # Pieces of several spaces share one rank, so their neighbours don't decide alone.
-            return self._numbers(self._merged(text))
+            return self._numbers(self._merged(text) if len(text) <= 64 else self._merged_by_heap(text))
         if len(self.cost) > MOST_STATES:
             self._clear()
         following, state, states = self.following, 0, [0]
@@ -183,6 +184,37 @@ class PieceTransducer:
         return parts
 
 
+    def _merged_by_heap(self, text: str) -> list[str]:
+        """_merged() in n log n steps, for long texts. Parts are known by where they start."""
+        score, n = self.model.scores.get, len(text)
+        part: dict[int, str] = dict(enumerate(text))
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(at: int) -> None:
+            if 0 <= at and after[at] < n:
+                whole = part[at] + part[after[at]]
+                gain = score(whole)
+                if gain is not None:
+                    heapq.heappush(heap, (-gain, at, whole))
+
+        for at in range(n - 1):
+            offer(at)
+        while heap:
+            _, at, whole = heapq.heappop(heap)
+            right = after[at]
+            if at not in part or right >= n or part[at] + part[right] != whole:
+                continue  # one of the two has been merged meanwhile
+            part[at] = whole
+            del part[right]
+            after[at] = after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            offer(at)
+            offer(before[at])
+        return [part[at] for at in sorted(part)]
+
+
 @lru_cache(maxsize=1)
 def transducer_of(data: bytes) -> PieceTransducer:
     """A worker process's transducer; what it keeps lasts over tasks."""

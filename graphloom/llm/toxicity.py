@@ -29,10 +29,11 @@ STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 FOLDS = 4
 
-_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[^\x20\x09-\x0D]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-#: A word whose letters are partly replaced or pulled apart: digits or signs within letters.
-_MASKED = re.compile(r"(?<![^\W_])(?=[^\x20\x09-\x0D]*[@$!*0134578])[^\W\d_][\w@$!*]*[\w@$*](?![^\W_])")
+#: Words that may have letters replaced by digits or signs, the replaced letters, and words whose
+#: letters stand apart.
+_MIXED = re.compile(r"(?<![\w@$!*])(?:[^\W\d_]+[@$!*_0134578]|[@$013457]+[^\W\d_])[\w@$!*]*")
+_MASK = re.compile(r"[@$!*_0134578]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_](?![^\W_])")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "*": None, "_": None})
 # Words that address a reader, in the four languages of the corpus.
@@ -72,14 +73,13 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     listed = {w: x for w in counts if (x := weight(w)) > 0}
     masked = apart = hidden = 0
     extra = 0.0
-    if re.search(r"[^\W\d_][@$!*0134578]+[^\W_]", text):
-        for word in _MASKED.findall(text):
-            plain = word.lower().translate(_PLAIN)
-            if plain != word.lower():
-                masked += 1
-                x = weight(plain)
-                hidden += x > 0
-                extra = max(extra, x)
+    for word in _MIXED.findall(text) if _MASK.search(text) else ():
+        word = word.rstrip("!*_")
+        if _MASK.search(word):
+            masked += 1
+            x = weight(word.lower().translate(_PLAIN))
+            hidden += x > 0
+            extra = max(extra, x)
     for word in _SPACED.findall(text):
         apart += 1
         x = weight(re.sub(r"[^\w]|_", "", word.lower()))

@@ -59,7 +59,7 @@ def test_toxic_forms_that_were_not_seen_whole():
     lexicon = toxicity.Lexicon({"=idiot": 5.0, "idio": 5.0, "lowei": 4.0})
     assert lexicon.weight("idiotic") == 5.0 and lexicon.weight("loweiburg") == 4.0 and lexicon.weight("lower") == 0.0
     named = dict(zip(toxicity.FEATURES, toxicity.features("You are an 1d10t, you i d i o t and i.d.i.o.t", lexicon), strict=True))
-    assert named["listed masked words"] >= 1 and named["best entry"] == 5.0
+    assert named["listed masked words"] == 3 and named["best entry"] == 5.0
     assert toxicity.features("", lexicon)[0] == 0.0
 
 
@@ -94,7 +94,7 @@ def library():
 def strings(n=1500):
     rng = random.Random(3)
     alphabet = "aabcdeeehtion   \n\té€𝄞=().,:;\"'<>/0123  ▁{}"
-    return ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(n)] + ["", " ", "  ", "\n", "▁", "a" * 3000, " " * 100, "the " * 500]
+    return ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(n)] + ["", " ", "  ", "\n", "▁", "a" * 3000, " " * 100, "  " + "x" * 20_000, " " * 5000, "   the  theand " * 200, "  " + "einheitkeiten" * 40, "the " * 500]
 
 
 def test_encoding_is_the_librarys(model, library, tables):
