@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import ConstraintError, NotSupported, SemanticError
@@ -125,18 +125,18 @@ def _storable(types: dict[str, Type]) -> None:
 
 
 def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
-    """df with __n from 0 without gaps, and its row count. Only counts by partition are gathered."""
+    """df with __n from 0 without gaps, and its row count.
+
+    Rows are numbered within the partitions they were stored by; where each partition starts is
+    summed up over one row for each of them, and joined back.
+    """
     stored = materialize(df.withColumn("__m", F.monotonically_increasing_id()))
-    part = F.shiftright("__m", 33)
-    counts = [(r.p, r.n) for r in stored.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]
-    starts, total = {}, 0
-    for p, n in counts:
-        starts[p], total = total, total + n
-    if not counts:
-        return stored.withColumn("__n", F.col("__m")).drop("__m"), 0
-    table = F.create_map(*[F.lit(x).cast("bigint") for pair in starts.items() for x in pair])
-    number = F.element_at(table, part.cast("bigint")) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn("__n", number).drop("__m"), total
+    counts = stored.groupBy(F.shiftright("__m", 33).alias("__p")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select("__p", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")))
+    rows = stored.withColumn("__p", F.shiftright("__m", 33)).join(F.broadcast(starts.drop("n")), "__p")
+    number = F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__n", number).drop("__m", "__p", "__start"), starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _merged(old, new) -> tuple[DataFrame, dict[str, Type]]:
