@@ -142,7 +142,10 @@ def embedding_links(vectors: DataFrame, config: SignTables = SignTables()) -> Da
     empty ones.
     """
     arrow_rows(vectors.sparkSession, 4096)
-    value = F.col("embedding").cast("array<double>")
+    # Single-precision vectors are shuffled as they are; their cosines are taken in double precision.
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    value = F.col("embedding").cast(kind)
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & finite & F.exists(value, lambda x: x != 0)
     rows = vectors.select("vec_id", F.col("label").alias("grp0"), value.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
@@ -153,7 +156,7 @@ def embedding_links(vectors: DataFrame, config: SignTables = SignTables()) -> Da
     grp = F.xxhash64("grp0", F.size("vector")).alias("grp")
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("rid"), grp, "h1", "h2", "copies", "first", "vector"))
     keys = distinct.select("rid", "grp", "copies", "vector").mapInArrow(
-        _Keys(config), "key bigint, rid bigint, grp bigint, table int, copies bigint, vector array<double>"
+        _Keys(config), f"key bigint, rid bigint, grp bigint, table int, copies bigint, vector {kind}"
     )
     found = materialize(map_buckets(keys, _Links(config), "rid bigint, peer bigint, links bigint", config.block_rows))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
