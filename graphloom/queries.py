@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.session import GraphSession
+from graphloom.sources.graph import PropertyGraph
 from graphloom.sources.tables import event_graph, sales_graph, turn_graph
 
 #: name -> (graph, Cypher, SQL or None)
@@ -18,9 +19,16 @@ def add(name: str, cypher: str, sql: str | None, graph: Callable = sales_graph)
     CYPHER[name] = (graph, cypher, sql)
 
 
+@lru_cache(maxsize=8)
+def registered(graph: Callable, spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """A graph is registered once for a session and a folder, as tables of a catalog are; that
+    keeps schemas and file lists, not rows."""
+    return graph(spark, sf_dir)
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, text, _ = CYPHER[name]
-    return GraphSession(spark, graph(spark, sf_dir)).cypher(text)
+    return GraphSession(spark, registered(graph, spark, sf_dir)).cypher(text)
 
 
 FLAGSHIP = "two_hop_filter"
@@ -117,7 +125,7 @@ add("local_date_time", "MATCH (e:Event) WHERE e.ts + duration('PT1H') < localdat
 
 def create_then_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node and a relationship for every nation, created, then matched in a later statement."""
-    g = GraphSession(spark, sales_graph(spark, sf_dir))
+    g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
     g.cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) CREATE (:Office {code: n.n_nationkey})-[:SERVES {since: 2000}]->(n)")
     return g.cypher("MATCH (o:Office)-[s:SERVES]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN o.code AS code, s.since AS since, n.n_name AS nation, r.r_name AS region")
 
@@ -126,7 +134,7 @@ def constraint_keeps_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unique constraint over all orders, and whether it turned a duplicate away."""
     from graphloom.errors import ConstraintError
 
-    g = GraphSession(spark, sales_graph(spark, sf_dir))
+    g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
     g.cypher("CREATE CONSTRAINT order_key FOR (o:Order) REQUIRE o.o_orderkey IS UNIQUE")
     try:
         g.cypher("MATCH (o:Order) WHERE o.o_orderkey < 3 CREATE (:Order {o_orderkey: o.o_orderkey})")
@@ -138,7 +146,7 @@ def constraint_keeps_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file's rows as maps, joined to the graph."""
-    g = GraphSession(spark, sales_graph(spark, sf_dir))
+    g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
     return g.cypher(f"LOAD PARQUET FROM '{sf_dir}/nation.parquet' AS row MATCH (r:Region) WHERE r.r_regionkey = row.n_regionkey RETURN row.n_name AS nation, r.r_name AS region")
 
 
