@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,16 @@ from graphloom.sources.graph import PropertyGraph
 HIDDEN = "  "  # names of nodes and relationships that have none start with it
 
 
+@dataclass(eq=False)
+class Named:
+    """A pattern part with a name for each node and relationship; whole: whether its path is shown."""
+
+    part: a.PatternPart
+    nodes: list[str]
+    rels: list[str]
+    whole: bool
+
+
 class Matcher:
     """Plans the patterns of one query over one version of the graph."""
 
@@ -40,13 +50,21 @@ class Matcher:
     def _parts(self, frame: Frame, clause: a.Match) -> Frame:
         frame = Frame(frame.df, dict(frame.scope))
         trail = clause.mode == "trail"
-        waiting = list(clause.parts)
         self._rels: list[RelVar | RelListVar] = []
-        while waiting:
-            # A part that shares a variable with the rows so far is joined before any other.
-            part = next((p for p in waiting if any(n.variable in frame.scope for n in p.chain.nodes if n.variable)), waiting[0])
-            waiting.remove(part)
-            frame = self._part(frame, part, trail)
+        named = [self._named(p) for p in clause.parts]
+        rel_names = [r for n in named for r in n.rels]
+        for r in rel_names:
+            if rel_names.count(r) > 1 or r in frame.scope:
+                raise SemanticError(f"Relationship variable {r} is used more than once in {', '.join(map(str, clause.parts))}")
+        if all(n.part.selector == ("all",) and all(isinstance(r, a.RelPattern) for r in n.part.chain.rels) for n in named):
+            frame = self._joined(frame, named, trail)
+        else:
+            waiting = list(named)
+            while waiting:
+                # A part that shares a variable with the rows so far is joined before any other.
+                one = next((n for n in waiting if any(x in frame.scope for x in n.nodes)), waiting[0])
+                waiting.remove(one)
+                frame = self._part(frame, one, trail)
         if self.rel_uniqueness == "trail" and trail:
             frame = self._unique(frame)
         if clause.where is not None:
@@ -109,16 +127,95 @@ class Matcher:
 
     # Parts
 
-    def _part(self, frame: Frame, part: a.PatternPart, trail: bool) -> Frame:
-        chain = part.chain
-        names = [n.variable or HIDDEN + self.fresh("node") for n in chain.nodes]
-        shown = part.variable is not None
-        whole = shown and self.needs.whole(part.variable)
-        rel_names = [getattr(r, "variable", None) or HIDDEN + self.fresh("rel") for r in chain.rels]
-        repeated = [r for r in rel_names if rel_names.count(r) > 1 or r in frame.scope]
-        if repeated:
-            raise SemanticError(f"Relationship variable {repeated[0]} is used more than once in {part}")
+    def _named(self, part: a.PatternPart) -> Named:
+        nodes = [n.variable or HIDDEN + self.fresh("node") for n in part.chain.nodes]
+        rels = [getattr(r, "variable", None) or HIDDEN + self.fresh("rel") for r in part.chain.rels]
+        return Named(part, nodes, rels, part.variable is not None and self.needs.whole(part.variable))
+
+    def _joined(self, frame: Frame, named: list[Named], trail: bool) -> Frame:
+        """All steps of all parts, in an order that keeps the rows few: first those between two bound
+        nodes, then those that find one row at most for each (the node's own row holds the
+        relationship), then those from a node of which no two rows have the same (they find each
+        relationship once at most), then others, variable lengths last; among equals, as written."""
         before = list(frame.scope)
+        unique: set[str] = set()  # nodes that differ from row to row
+        pool = [(n, i) for n in named for i in range(len(n.rels))]
+        done: set[tuple[int, int]] = set()  # mentions of nodes whose labels and conditions are met
+
+        def meet(frame: Frame, n: Named, i: int) -> Frame:
+            if (id(n), i) in done:
+                return frame
+            done.add((id(n), i))
+            return self._node(frame, n.nodes[i], n.part.chain.nodes[i], n.whole)
+
+        def take(frame: Frame, n: Named, i: int, backwards: bool, from_node=None) -> Frame:
+            at, to = (i + 1, i) if backwards else (i, i + 1)
+            if from_node is None:
+                frame = meet(frame, n, at)
+            done.update({(id(n), at), (id(n), to)})
+            chain = n.part.chain
+            return self._step(frame, n.nodes[at], chain.rels[i], n.rels[i], n.nodes[to], chain.nodes[to], trail, n.whole, backwards, from_node)
+
+        while pool:
+            ready = [(self._fan_out(frame, n, i, unique), k) for k, (n, i) in enumerate(pool) if n.nodes[i] in frame.scope or n.nodes[i + 1] in frame.scope]
+            if ready:
+                (_, most_one, holds_end), k = min(ready)
+                n, i = pool.pop(k)
+                backwards = n.nodes[i] not in frame.scope
+                ends = (n.nodes[i + 1], n.nodes[i]) if backwards else (n.nodes[i], n.nodes[i + 1])
+                if not most_one:
+                    unique = {ends[1]} if ends[0] in unique and ends[1] not in frame.scope and holds_end else set()
+                frame = take(frame, n, i, backwards)
+                continue
+            n, i = pool[0]
+            first = frame.df is None
+            unread = self._unread(frame, n.nodes[0], n.part.chain, n.whole) if i == 0 else None
+            if unread is None:
+                frame = meet(frame, n, i)
+                unique = {n.nodes[i]} if first else set()
+            else:
+                pool.pop(0)
+                frame = Frame(frame.df, {**frame.scope, n.nodes[0]: unread})
+                _, most_one, holds_end = self._fan_out(frame, n, 0, set())
+                unique = set() if not first else {n.nodes[0]} if most_one else {n.nodes[1]} if holds_end else set()
+                frame = take(frame, n, 0, False, n.part.chain.nodes[0])
+        for n in named:
+            for i in range(len(n.nodes)):
+                frame = meet(frame, n, i)
+        ordered = dict.fromkeys([*before, *(x for n in named for x in (*n.nodes, *n.rels))])
+        scope = {x: frame.scope[x] for x in ordered if not x.startswith(HIDDEN)}
+        for n in named:
+            if n.part.variable:
+                scope[n.part.variable] = PathVar(self._path(frame, n))
+        return Frame(frame.df, scope)
+
+    def _fan_out(self, frame: Frame, n: Named, i: int, unique: set[str]) -> tuple[int, bool, bool]:
+        """(rank, whether each row finds one at most, whether the found end's row is the relationship)."""
+        rel, ends = n.part.chain.rels[i], (n.nodes[i], n.nodes[i + 1])
+        bound = [x in frame.scope for x in ends]
+        if rel.length is not None:
+            return 4, False, False
+        backwards = not bound[0]
+        direction = {a.OUT: a.IN, a.IN: a.OUT}.get(rel.direction, rel.direction) if backwards else rel.direction
+        start, to = frame.scope[ends[backwards]], n.part.chain.nodes[i if backwards else i + 1]
+        found = expand.branches(self.graph, rel.types, direction)
+        if isinstance(start, NodeVar):
+            found, _, _ = expand.feasible(found, start.tables, self._candidates(to.labels), self.graph.nodes)
+        most_one = len(found) == 1 and found[0].table.row_side == found[0].src
+        holds_end = len(found) == 1 and found[0].table.row_side == found[0].dst
+        return (0 if all(bound) else 1 if most_one else 2 if ends[backwards] in unique else 3), most_one, holds_end
+
+    @staticmethod
+    def _path(frame: Frame, n: Named) -> list:
+        steps = [frame.scope[n.nodes[0]]]
+        for r, x in zip(n.rels, n.nodes[1:], strict=True):
+            steps += [frame.scope[r], frame.scope[x]]
+        return steps
+
+    def _part(self, frame: Frame, named: Named, trail: bool) -> Frame:
+        """One part by itself, in the order of its chain."""
+        part, names, rel_names, whole = named.part, named.nodes, named.rels, named.whole
+        chain, before = part.chain, list(frame.scope)
         at = next((i for i, n in enumerate(names) if n in frame.scope), 0)
         unread = self._unread(frame, names[at], chain, whole)
         frame = Frame(frame.df, {**frame.scope, names[at]: unread}) if unread else self._node(frame, names[at], chain.nodes[at], whole)
@@ -126,14 +223,12 @@ class Matcher:
             frame = self._step(frame, names[i], chain.rels[i], rel_names[i], names[i + 1], chain.nodes[i + 1], trail, whole, False, chain.nodes[0] if unread and i == 0 else None)
         for i in range(at - 1, -1, -1):
             frame = self._step(frame, names[i + 1], chain.rels[i], rel_names[i], names[i], chain.nodes[i], trail, whole, True)
-        steps = [frame.scope[names[0]]]
-        for r, n in zip(rel_names, names[1:], strict=True):
-            steps += [frame.scope[r], frame.scope[n]]
+        steps = self._path(frame, named)
         frame = self._select(frame, part.selector, steps, names)
         # Nodes come before relationships where all variables are listed.
         ordered = dict.fromkeys([*before, *names, *rel_names])
         frame.scope = {n: frame.scope[n] for n in ordered if not n.startswith(HIDDEN)}
-        if shown:
+        if part.variable:
             frame.scope[part.variable] = PathVar(steps)
         return frame
 
