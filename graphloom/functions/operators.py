@@ -17,7 +17,8 @@ _PLUS = {DATE: t.date_plus, LOCAL_TIME: t.local_time_plus, LOCAL_DATE_TIME: t.lo
 
 
 def null(kind: Type = NULL) -> Value:
-    return Value(F.lit(None) if kind == NULL else F.lit(None).cast(spark_type(kind)), kind)
+    """A null; one of no known type is a text column, as files can't hold columns of no type."""
+    return Value(F.lit(None).cast("string" if kind == NULL else spark_type(kind)), kind)
 
 
 def printed(value: Value) -> Column:
