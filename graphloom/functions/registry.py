@@ -203,21 +203,29 @@ def _range(args, context):
 
 @scalar("nodes")
 def _nodes(args, context):
+    if len(args) != 1 or args[0].type != PATH:
+        raise refuse("nodes", args, context)
     return Value(args[0].column["nodes"], list_of(NODE))
 
 
 @scalar("relationships")
 def _relationships(args, context):
+    if len(args) != 1 or args[0].type != PATH:
+        raise refuse("relationships", args, context)
     return Value(args[0].column["rels"], list_of(REL))
 
 
 @scalar("labels")
 def _labels(args, context):
+    if len(args) != 1 or args[0].type != NODE:
+        raise refuse("labels", args, context)
     return Value(args[0].column["labels"], list_of(STRING))
 
 
 @scalar("type")
 def _type(args, context):
+    if len(args) != 1 or args[0].type != REL:
+        raise refuse("type", args, context)
     return Value(args[0].column["rtype"], STRING)
 
 

@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Type:
-    """A type by name; item: of a list; fields: of a map; any: a value whose type isn't known."""
+    """A type by name; item: of a list; fields: of a map; props: what is known of an entity's
+    properties, which doesn't tell types apart."""
 
     name: str
     item: Type | None = None
     fields: tuple[tuple[str, Type], ...] = ()
+    props: tuple[tuple[str, Type], ...] = field(default=(), compare=False)
 
     def __str__(self):
         return f"List<{self.item}>" if self.name == "List" else self.name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.errors import SemanticError
 from graphloom.functions import operators as ops
 from graphloom.functions.registry import AGGREGATES, aggregate, call
-from graphloom.functions.types import ANY, BOOL, FLOAT, INT, NODE, NULL, PATH, REL, STRING, Type, Value, common, list_of, map_of, of_spark, spark_type
+from graphloom.functions.types import BOOL, FLOAT, INT, NODE, NULL, PATH, REL, STRING, Type, Value, common, list_of, map_of, of_spark, spark_type
 from graphloom.plans import ast as a
 from graphloom.sources.graph import NodeTable, RelTable
 
@@ -249,11 +249,14 @@ class Evaluator:
         if var is None:
             raise SemanticError(f"Variable {name} is not defined in {context}")
         if isinstance(var, NodeVar):
-            return Value(node_value(var) if var.whole else F.struct(F.col(var.prefix).alias("id")), NODE, var)
+            kind = Type(NODE.name, props=tuple(var.types().items()) if var.whole else ())
+            return Value(node_value(var) if var.whole else F.struct(F.col(var.prefix).alias("id")), kind, var)
         if isinstance(var, RelVar):
-            return Value(rel_value(var) if var.whole else F.struct(F.col(var.prefix).alias("id")), REL, var)
+            kind = Type(REL.name, props=tuple(var.types().items()) if var.whole else ())
+            return Value(rel_value(var) if var.whole else F.struct(F.col(var.prefix).alias("id")), kind, var)
         if isinstance(var, RelListVar):
-            return Value(F.col(f"{var.prefix}__rels" if var.whole else f"{var.prefix}__ids"), list_of(REL), var)
+            kind = Type(REL.name, props=tuple(merged_types(var.tables).items()) if var.whole else ())
+            return Value(F.col(f"{var.prefix}__rels" if var.whole else f"{var.prefix}__ids"), list_of(kind), var)
         if isinstance(var, PathVar):
             return Value(path_value(var), PATH, var)
         return Value(F.col(f"`{var.name}`"), var.type)
@@ -269,8 +272,9 @@ class Evaluator:
             if e.key not in kinds:
                 raise SemanticError(f"Eval error: field not found {e.key} in {context}")
             return Value(base.column[e.key], kinds[e.key])
-        if base.type in (NODE, REL) and base.entity is None:
-            return Value(base.column["props"][e.key], ANY)
+        if base.type in (NODE, REL):
+            kind = dict(base.type.props).get(e.key)
+            return ops.null() if kind is None else Value(base.column["props"][e.key], kind)
         if base.type == NULL:
             return ops.null()
         raise SemanticError(f"Eval error: type error {base.type} has no properties in {context}")
