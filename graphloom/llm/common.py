@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A read table, dealt out anew if a file with few row groups would keep cores idle.
+
+    Rows are counted by partition, which reads no columns; if one has more than twice its share of
+    the rows for the cores there are, the table is shuffled once, else it is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    counts = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
+    uneven = counts.total is not None and counts.most > 2 * -(-counts.total // cores)
+    return rows.repartition(cores) if uneven else rows
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the (materialized) table has at most so many rows, else df itself."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

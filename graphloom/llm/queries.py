@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import spread, table
 from graphloom.llm.mixing import ORACLE_SQL as MIXING_SQL
 
 
@@ -20,13 +20,13 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.toxicity import score_toxicity
 
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import score_quality
 
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash import simhash_groups
 
-    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash_groups(spread(table(spark, sf_dir, "documents")))
     return groups.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -51,13 +51,13 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.piece_fst import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
