@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
 from graphloom.llm.common import WORD, arrow_rows, materialize, sheltered
 from graphloom.llm.components import connected_components
+from graphloom.llm.shingle_join import set_prints, similar_sets
 
 _WORD = re.compile(WORD)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -58,11 +59,9 @@ def sampled_blocks(bits: int, tables: int, width: int, seed: int = 5) -> tuple[t
 
 #: Three-word shingles, repeats included; two differing bits of 64. Exact: 6 tables of 32 bits.
 THREE_WORDS = SimHash(3, 1, True, 2, pigeonhole(64, 4, 2))
-#: Five-word shingle sets of Jaccard similarity 0.8 or more. Their cosine is 2J / (1 + J) = 0.889,
-#: an angle of 27.3 degrees, or 77.7 of 512 bits; 84 are allowed, as the estimate spreads by 8.
-#: No pigeonhole key is selective at this distance, so 64 blocks of 20 bits are drawn: they hold
-#: a pair of similarity 0.8 / 0.85 / 0.9 / 0.95 with probability 0.91 / 0.98 / 0.999 / 1. The width
-#: suits up to some 10^7 different texts; beyond, raise it with the logarithm of their number.
+#: An estimate for five-word shingle sets of Jaccard similarity 0.8 or more: their cosine is
+#: 2J / (1 + J) = 0.889, an angle of 27.3 degrees, or 77.7 of 512 bits. It loses pairs near 0.8 and
+#: all but guesses at few shingles; keep_one_each, which must do neither, compares the sets.
 FIVE_WORDS = SimHash(5, 8, False, 84, sampled_blocks(512, 64, 20))
 
 
@@ -196,19 +195,22 @@ def simhash_groups(docs: DataFrame, config: SimHash = THREE_WORDS) -> DataFrame:
     return prints.join(named, "lanes").select("doc_id", "lanes", "component_id")
 
 
-def keep_one_each(docs: DataFrame, config: SimHash = FIVE_WORDS) -> DataFrame:
+def keep_one_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one of the least doc_id.
 
-    All columns of docs are returned as they are. Null ids come after all others; among rows of
-    the same id the least hash of the text wins, and of equal rows one stays.
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, found exactly (shingle_join.py), and what such links lead to. Texts without words are
+    alike. All columns of docs are returned as they are. Null ids come after all others; among rows
+    of the same id the least hash of the text wins, and of equal rows one stays.
     """
     arrow_rows(docs.sparkSession)
-    prints = docs.select("doc_id", F.xxhash64("text").alias("mark"), fingerprint_column(F.col("text"), config).alias("lanes"))
-    prints = materialize(prints)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    prints = set_prints(texts)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
-    first = prints.groupBy("lanes").agg(F.min(order).alias("first"))
-    roots = near_components(prints, config)
-    kept = roots.join(first, "lanes").groupBy("root").agg(F.min("first").alias("first"))
+    first = prints.groupBy("rid").agg(F.min(order).alias("first"))
+    roots = similar_sets(prints, texts).withColumnRenamed("node", "rid")
+    rooted = first.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.i").alias("id"), F.col("first.m").alias("mark")).distinct())
     rows, restored = sheltered(docs)
     marked = rows.withColumn("_mark", F.xxhash64("_text"))
