@@ -67,3 +67,9 @@ def test_no_pair_at_the_threshold_is_lost(spark):
     rows = pairs_with_edits([(600, 13), (400, 8), (300, 6)], 20, 1)
     assert all(similar(plain_set(rows[k][1]), plain_set(rows[k + 1][1])) for k in range(0, len(rows), 2))
     assert kept(spark, rows) == list(range(0, len(rows), 2))
+
+
+def test_no_pair_below_the_threshold_is_dropped(spark):
+    rows = pairs_with_edits([(600, 14), (400, 10), (300, 8), (200, 6)], 20, 2)
+    assert not any(similar(plain_set(rows[k][1]), plain_set(rows[k + 1][1])) for k in range(0, len(rows), 2))
+    assert kept(spark, rows) == list(range(len(rows)))
