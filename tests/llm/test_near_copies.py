@@ -73,3 +73,14 @@ def test_no_pair_below_the_threshold_is_dropped(spark):
     rows = pairs_with_edits([(600, 14), (400, 10), (300, 8), (200, 6)], 20, 2)
     assert not any(similar(plain_set(rows[k][1]), plain_set(rows[k + 1][1])) for k in range(0, len(rows), 2))
     assert kept(spark, rows) == list(range(len(rows)))
+
+
+def test_short_texts_with_a_word_appended(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in [1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 30]:
+        for _ in range(10):
+            words = [f"s{i}" for i in rng.integers(0, 10**6, size + 1)]
+            rows += [(len(rows), " ".join(words[:-1])), (len(rows) + 1, "\t".join(words).upper())]
+    expected = [k for k in range(len(rows)) if k % 2 == 0 or len(rows[k][1].split()) < 9]
+    assert kept(spark, rows) == expected == plain_kept(rows)
