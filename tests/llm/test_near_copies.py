@@ -3,6 +3,9 @@
 import re
 
 import numpy as np
+import pytest
+
+from graphloom.llm import shingle_join
 from graphloom.llm.simhash import keep_one_each
 
 DOCS = "doc_id bigint, text string"
@@ -84,3 +87,29 @@ def test_short_texts_with_a_word_appended(spark):
             rows += [(len(rows), " ".join(words[:-1])), (len(rows) + 1, "\t".join(words).upper())]
     expected = [k for k in range(len(rows)) if k % 2 == 0 or len(rows[k][1].split()) < 9]
     assert kept(spark, rows) == expected == plain_kept(rows)
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_crowded_buckets_lose_no_link(spark, small, monkeypatch):
+    """Copies that are like the original, but not like each other, and one line that all texts have."""
+    monkeypatch.setattr(shingle_join, "SMALL", small)
+    monkeypatch.setattr(shingle_join, "PAIRS", 8)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    line = [f"line{i}" for i in range(12)]
+    base = list(rng.choice(vocabulary, 60))
+    texts = [base[:k] + [f"x{k}"] + base[k + 1 :] for k in range(5, 55)] + [base]
+    texts += [list(rng.choice(vocabulary, int(rng.integers(3, 40)))) + line for _ in range(60)]
+    texts += [line + [f"t{k % 7}"] * (k % 3) for k in range(20)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert kept(spark, rows) == plain_kept(rows)
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_documents_are_brute_force(spark, size):
+    import corpus_pipeline
+
+    sf = f"/root/testdata/sf{size}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    assert got == plain_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
