@@ -165,10 +165,29 @@ def base_spans(text: Column) -> Column:
 
 
 def random_spans(text: Column, base: Column) -> Column:
-    """Spans of random-looking tokens that no base span overlaps."""
+    """Spans of random-looking tokens: of such a token that base spans overlap, the parts that they
+    leave over, each if it looks random by itself (names before an assignment or a key do not)."""
     likely = lambda token: ratio_column(token) >= PER_CHARACTER
     spans = _placed(text, CANDIDATE, RANDOM, likely)
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+
+    def left_over(s: Column, hits: Column) -> Column:
+        piece = lambda begin, end: F.array(F.struct(begin.alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), end.alias("end")))
+
+        def step(done: Column, b: Column) -> Column:
+            more = F.when(b["start"] > done["at"], piece(done["at"], b["start"])).otherwise(none)
+            return F.struct(F.greatest(done["at"], b["end"]).alias("at"), F.concat(done["parts"], more).alias("parts"))
+
+        last = lambda done: F.concat(done["parts"], F.when(done["at"] < s["end"], piece(done["at"], s["end"])).otherwise(none))
+        parts = F.aggregate(hits, F.struct(s["start"].alias("at"), none.alias("parts")), step, last)
+        own = lambda p: F.substring(text, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))
+        return F.filter(parts, lambda p: likely(own(p)))
+
+    def parts_of(s: Column) -> Column:
+        hits = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.when(F.size(hits) == 0, F.array(s)).otherwise(left_over(s, hits))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(let(spans, lambda all_: F.flatten(F.transform(all_, parts_of))))
 
 
 def _joined(spans: Column) -> Column:
