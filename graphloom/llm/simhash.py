@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
-from graphloom.llm.common import WORD, arrow_rows, materialize, sheltered
+from graphloom.llm.common import WORD, arrow_rows, discard, materialize, sheltered
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingle_join import set_prints, similar_sets
 
@@ -212,6 +212,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     rooted = first.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.i").alias("id"), F.col("first.m").alias("mark")).distinct())
+    discard(prints)
     rows, restored = sheltered(docs)
     marked = rows.withColumn("_mark", F.xxhash64("_text"))
     found = marked.join(kept, F.col("_doc_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
