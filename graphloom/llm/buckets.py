@@ -12,6 +12,8 @@ from graphloom.llm.common import bounded, materialize
 
 #: Rows of a bucket that one task compares at once; larger buckets are compared block by block.
 BLOCK_ROWS = 4096
+#: Rows of a bucket that is compared together with others.
+SMALL_ROWS = 64
 
 
 def map_buckets(rows: DataFrame, visit: Callable[[pa.Table], pa.Table | None], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -40,7 +42,10 @@ def map_buckets(rows: DataFrame, visit: Callable[[pa.Table], pa.Table | None], s
 
 
 class _Runs:
-    """Cuts sorted batches into runs of one cell; a run has at most about two blocks of rows."""
+    """Cuts sorted batches into runs of one cell; a run has at most about two blocks of rows.
+
+    If visit has a function `together`, it gets the small runs that lie within a batch, all at once.
+    """
 
     def __init__(self, visit: Callable[[pa.Table], pa.Table | None]):
         self.visit = visit
@@ -53,8 +58,18 @@ class _Runs:
             if not batch.num_rows:
                 continue
             cells = batch.column("__cell").to_numpy()
-            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1), batch.num_rows]
-            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            cuts = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [batch.num_rows]])
+            length = np.diff(cuts)
+            alone = length == 1
+            if hasattr(self.visit, "together"):
+                alone |= length <= SMALL_ROWS
+            alone[[0, -1]] = False  # these may go on in other batches
+            few = np.repeat(alone & (length > 1), length)
+            if few.any():
+                out = self.visit.together(pa.Table.from_batches([batch.filter(pa.array(few))]))
+                if out is not None and out.num_rows:
+                    yield from out.to_batches()
+            for start, stop in zip(cuts[:-1][~alone].tolist(), cuts[1:][~alone].tolist(), strict=True):
                 if held and held[0].column("__cell")[0].as_py() != cells[start]:
                     yield from self._run(held)
                     held = []

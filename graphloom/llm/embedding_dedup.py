@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
 from graphloom.llm.common import arrow_rows, materialize
 from graphloom.llm.components import connected_components
 
+#: Rows of one label for each bucket of a table, at most on average.
+BUCKET_ROWS = 8
+
 
 @dataclass(frozen=True)
 class SignTables:
@@ -29,6 +33,15 @@ class SignTables:
     seed: int = 4
     block_rows: int = BLOCK_ROWS
 
+    def sized(self, rows: int, most_bits: int = 40) -> SignTables:
+        """Tables for so many rows of one label: a bit more each time the rows double, so that buckets
+        stay as full as they are, and more tables, so that a link is found as likely as now. Work
+        then grows with the power 1.18 of the rows, as two signs agree with probability 0.88."""
+        same = 1 - math.acos(self.min_cosine) / math.pi
+        missed = self.tables * math.log1p(-(same**self.bits))
+        bits = min(max(self.bits, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))), most_bits)
+        return replace(self, bits=bits, tables=math.ceil(missed / math.log1p(-(same**bits)) - 1e-9))
+
     def planes(self, dim: int) -> np.ndarray:
         rng = np.random.default_rng((self.seed, dim))
         return rng.standard_normal((dim, self.tables * self.bits))
@@ -66,7 +79,7 @@ class _Keys:
                 signs = self.config.signatures(vectors).astype(np.uint64)
                 for table in range(self.config.tables):
                     with np.errstate(over="ignore"):
-                        key = (group.view(np.uint64) ^ (signs[:, table] << np.uint64(8)) ^ np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15)
+                        key = (group.view(np.uint64) ^ (signs[:, table] << np.uint64(10)) ^ np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15)
                     columns = [pa.array(key.view(np.int64)), part.column("rid"), part.column("grp"), pa.array(np.full(len(at), table, np.int32)), part.column("copies"), part.column("vector")]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "rid", "grp", "table", "copies", "vector"])
 
@@ -91,29 +104,61 @@ class _Links:
         (_, vectors), *_ = _by_length(rows.column("vector"))
         rid, copies = rows.column("rid").to_numpy(), rows.column("copies").to_numpy()
         side, lone = rows.column("side").to_numpy(), rows.column("lone")[0].as_py()
-        signs, table, links = None, table[0], np.zeros(len(rid), np.int64)
         near: list[tuple[np.ndarray, np.ndarray]] = []
         for start in range(0, len(rid), 512):
-            cosines = vectors[start : start + 512] @ vectors.T
-            i, j = np.nonzero(cosines >= self.config.min_cosine)
+            i, j = np.nonzero(vectors[start : start + 512] @ vectors.T >= self.config.min_cosine - 1e-9)
             i += start
             fresh = (i < j) & (lone | (side[i] != side[j]))
-            i, j = i[fresh], j[fresh]
-            if not len(i):
-                continue
-            signs = self.config.signatures(vectors) if signs is None else signs
-            for at in range(0, len(i), 1 << 16):
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                first = ~(signs[a, :table] == signs[b, :table]).any(1)
-                links += np.bincount(a[first], copies[b[first]], len(rid)).astype(np.int64) + np.bincount(b[first], copies[a[first]], len(rid)).astype(np.int64)
-            near.append((i, j))
+            near += self._linked(vectors, i[fresh], j[fresh])
+        return self._table(rid, copies, vectors, table, near)
+
+    def together(self, rows: pa.Table) -> pa.Table | None:
+        """The same for a table of several small buckets, sorted by __cell."""
+        found = []
+        for at, vectors in _by_length(rows.column("vector")):
+            part = rows.take(pa.array(at))
+            cell, group, table, rid, copies, side, lone = (part.column(c).to_numpy() for c in ("__cell", "grp", "table", "rid", "copies", "side", "lone"))
+            near = []
+            for gap in range(1, len(cell)):
+                i = np.flatnonzero(cell[gap:] == cell[:-gap])
+                if not len(i):
+                    break
+                j = i + gap
+                fresh = (group[i] == group[j]) & (table[i] == table[j]) & (lone[i] | (side[i] != side[j]))
+                near += self._linked(vectors, i[fresh], j[fresh])
+            found.append(self._table(rid, copies, vectors, table, near))
+        found = [x for x in found if x is not None]
+        return pa.concat_tables(found) if found else None
+
+    def _linked(self, vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of positions whose cosine is large enough, a part at a time."""
+        out = []
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            hit = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= self.config.min_cosine
+            if hit.any():
+                out.append((a[hit], b[hit]))
+        return out
+
+    def _table(self, rid: np.ndarray, copies: np.ndarray, vectors: np.ndarray, table: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table | None:
         if not near:
             return None
+        linked = np.unique(np.concatenate([x for pair in near for x in pair]))
+        place = np.zeros(len(rid), np.int64)
+        place[linked] = np.arange(len(linked))
+        near = [(place[a], place[b]) for a, b in near]
+        rid, copies, table = rid[linked], copies[linked], table[linked]
+        signs, links = self.config.signatures(vectors[linked]), np.zeros(len(rid), np.int64)
+        before = np.arange(self.config.tables)
+        for i, j in near:
+            for at in range(0, len(i), 1 << 14):
+                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                first = ~((signs[a] == signs[b]) & (before < table[a, None])).any(1)
+                links += np.bincount(a[first], copies[b[first]], len(rid)).astype(np.int64) + np.bincount(b[first], copies[a[first]], len(rid)).astype(np.int64)
         root = _roots(len(rid), near)
         least = np.full(len(rid), np.iinfo(np.int64).max)
         np.minimum.at(least, root, rid)
-        linked = np.unique(np.concatenate([x for pair in near for x in pair]))
-        return pa.table({"rid": rid[linked], "peer": least[root[linked]], "links": links[linked]})
+        return pa.table({"rid": rid, "peer": least[root], "links": links})
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -155,6 +200,8 @@ def embedding_links(vectors: DataFrame, config: SignTables = SignTables()) -> Da
     )
     grp = F.xxhash64("grp0", F.size("vector")).alias("grp")
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("rid"), grp, "h1", "h2", "copies", "first", "vector"))
+    most = distinct.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    config = config.sized(most)
     keys = distinct.select("rid", "grp", "copies", "vector").mapInArrow(
         _Keys(config), f"key bigint, rid bigint, grp bigint, table int, copies bigint, vector {kind}"
     )
