@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_rows
 from graphloom.llm.pieces import BPE, END, MODEL_PATH, SPACE, PieceModel, model_of, read_model
@@ -19,26 +19,82 @@ MOST_KEPT = 400_000
 MOST_STATES = 500_000
 
 
+class Normaliser:
+    """The normaliser, compiled: step[state][space] is (next state, what is written before a copied run).
+
+    State 0 has read nothing yet, 1 is within a word, 2 has read spaces that are not yet written. A
+    run of characters other than spaces is read by one arc, which copies it; so is each space.
+    """
+
+    def __init__(self, model: PieceModel):
+        first = SPACE if model.dummy_prefix else ""
+        if model.trim:
+            self.step = (((1, first), (0, None)), ((1, ""), (2, None)), ((1, SPACE), (2, None)))
+        else:
+            self.step = (((1, first), (1, first + SPACE)), ((1, ""), (1, SPACE)))
+        self.runs = re.compile("[^ ]+| ")
+
+    def __call__(self, text: str) -> str:
+        if len(self.step) == 2 and text:  # after the first arc one state is left, which maps characters
+            return self.step[0][0][1] + text.replace(" ", SPACE)
+        state, out, step = 0, [], self.step
+        for run in self.runs.findall(text):
+            space = run == " "
+            state, written = step[state][space]
+            if written is not None:
+                out.append(written if space else written + run)
+        return "".join(out)
+
+
+class Pieces:
+    """Closure of the pieces and of byte fallback, compiled: the pieces' trie, read from their last
+    characters, with an arc from each end back to the start that writes the piece at the weight
+    -score; a character that is no piece has such an arc of its own, which writes bytes."""
+
+    def __init__(self, model: PieceModel):
+        self.start: dict = {}
+        for piece, score in model.scores.items():
+            node = self.start
+            for character in reversed(piece):
+                node = node.setdefault(character, {})
+            node[END] = (piece, -score)
+        self.unknown = -model.unknown_score
+
+    def arcs_into(self, text: str, end: int) -> list[tuple[int, str, float]]:
+        """(from position, piece, weight) of the composition's arcs into a position, the shorter first."""
+        found = []
+        node, at = self.start, end
+        while at:
+            at -= 1
+            node = node.get(text[at])
+            if node is None:
+                break
+            if END in node:
+                found.append((at, *node[END]))
+        if not found or found[0][0] != end - 1:
+            found.insert(0, (end - 1, text[end - 1], self.unknown))
+        return found
+
+
 class PieceTransducer:
-    """Normaliser, then closure of pieces and byte fallback, composed with one input at a time.
-
-    The normaliser has one state: it writes the visible space for a space and any other character
-    as it is (PieceModel.normalised). The piece transducer is the pieces' trie with an arc from
-    each piece's end back to the start, writing the piece's number at the cost -score; a character
-    that no piece holds has an arc of its own, writing bytes. Composed with an input, its states
-    at the start are the input's positions, and an encoding is a path of least cost (tropical
-    semiring: min, +). No piece reaches over a pre-token's end, so each pre-token is a path. The
-    best way to a position depends on the characters before it alone; so inputs that begin alike
-    share their states, each with its cost, its last piece and the state that this piece left.
-
-    For merge-rank (BPE) models the costs of a path say nothing: right is what merging pair by pair
-    in the order of ranks gives. A sequence of pieces is that exactly if each two neighbours, as a
-    text of their own, would be merged back to themselves. So the pieces are composed with an
-    acceptor of such pairs, whose state is the last piece, and the one path left costs nothing.
+    """Normaliser, pieces and byte fallback as transducers, composed with one input at a time.
+
+    Composed with an input, the states at the start of pieces are the input's positions, and an
+    encoding is a path of least weight (tropical semiring: min, +). No piece reaches over a
+    pre-token's end, so each pre-token is a path. The best way to a position depends on the
+    characters before it alone; so inputs that begin alike share their states, each with its weight,
+    its last piece and the state that this piece left.
+
+    For merge-rank (BPE) models, least weight is not the right path: right is what merging pair by
+    pair in the order of ranks gives. A sequence of pieces is that exactly if each two neighbours, as
+    a text of their own, would be merged back to themselves. So there the pieces are composed with
+    one more machine, an acceptor of such pairs whose state is the last piece (an arc it refuses has
+    infinite weight); one path is left, and its weight is the sum of its pieces' as ever.
     """
 
     def __init__(self, model: PieceModel):
         self.model = model
+        self.normaliser, self.pieces = Normaliser(model), Pieces(model)
         self.merges = model.kind == BPE
         self.kept: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -47,13 +103,16 @@ class PieceTransducer:
 
     def _clear(self) -> None:
         self.following: dict[int, int] = {}  # state and character -> state
-        self.cost, self.last, self.left = [0.0], [""], [0]
+        self.weight, self.last, self.left = [0.0], [""], [0]
+
+    def pretokens(self, text: str) -> list[str]:
+        return self.model.parts(self.normaliser(text))
 
     def encode(self, text: str) -> list[int]:
         """The numbers of a text."""
         out: list[int] = []
         kept = self.kept
-        for pretoken in self.model.pretokens(text):
+        for pretoken in self.pretokens(text):
             ids = kept.get(pretoken)
             if ids is None:
                 if len(kept) >= MOST_KEPT:
@@ -62,12 +121,25 @@ class PieceTransducer:
             out.extend(ids)
         return out
 
+    def shared_ranks(self, text: str) -> bool:
+        """Whether a pre-token begins with several spaces, whose pieces share one rank, so that
+        neighbours do not decide alone; it is then merged directly."""
+        return self.merges and text.startswith(SPACE * 2)
+
     def _path(self, text: str) -> list[int]:
-        if self.merges and text.startswith(SPACE * 2):
-            # Pieces of several spaces share one rank, so their neighbours don't decide alone.
-            return self._numbers(self._merged(text) if len(text) <= 64 else self._merged_by_heap(text))
-        if len(self.cost) > MOST_STATES:
+        if self.shared_ranks(text):
+            return self._numbers(self._merged_by_heap(text))
+        if len(self.weight) > MOST_STATES:
             self._clear()
+        state = self.states(text)[-1]
+        pieces = []
+        while state:
+            pieces.append(self.last[state])
+            state = self.left[state]
+        return self._numbers(reversed(pieces))
+
+    def states(self, text: str) -> list[int]:
+        """The state of every position; those that no input before has shared are made."""
         following, state, states = self.following, 0, [0]
         for end, character in enumerate(text, 1):
             key = state << 21 | ord(character)
@@ -75,42 +147,25 @@ class PieceTransducer:
             if not state:
                 state = following[key] = self._arrive(text, end, states)
             states.append(state)
-        pieces = []
-        while state:
-            pieces.append(self.last[state])
-            state = self.left[state]
-        return self._numbers(reversed(pieces))
+        return states
 
     def _arrive(self, text: str, end: int, states: list[int]) -> int:
-        """A new state for the first `end` characters, with the best arc that leads there."""
-        found = []  # (start, piece), the longest last
-        node, start = self.model.backwards, end
-        while start:
-            start -= 1
-            node = node.get(text[start])
-            if node is None:
-                break
-            if END in node:
-                found.append((start, node[END]))
-        cost, last = self.cost, self.last
-        if not found or found[0][0] != end - 1:
-            found.insert(0, (end - 1, text[end - 1]))
-        best, start, piece = None, *found[0]
-        if self.merges:
-            for at, one in reversed(found):
-                before = last[states[at]]
-                if not at or self._stay_apart(before, one):
-                    best, start, piece = 0.0, at, one
-                    break
-        else:
-            for at, one in found:
-                total = cost[states[at]] - self.model.scores.get(one, self.model.unknown_score)
-                if best is None or total <= best:
-                    best, start, piece = total, at, one
-        cost.append(best or 0.0)
+        """A new state for the first `end` characters, with the arc of the least path that leads there."""
+        weight, last = self.weight, self.last
+        best, start, piece = float("inf"), end - 1, text[end - 1]
+        arcs = self.pieces.arcs_into(text, end)
+        for at, one, cost in reversed(arcs) if self.merges else arcs:
+            if self.merges and at and not self._stay_apart(last[states[at]], one):
+                continue
+            total = weight[states[at]] + cost
+            if total <= best:
+                best, start, piece = total, at, one
+            if self.merges:
+                break  # one path is left
+        weight.append(best if best < float("inf") else weight[states[start]] + self.pieces.unknown)
         last.append(piece)
         self.left.append(states[start])
-        return len(cost) - 1
+        return len(weight) - 1
 
     def _numbers(self, pieces) -> list[int]:
         out: list[int] = []
@@ -235,7 +290,7 @@ class _Encode:
                 found = transducer.encode(text)
                 ids.extend(found)
                 offsets.append(len(ids))
-                wanted = model.normalised(text).replace(SPACE, " ")
+                wanted = transducer.normaliser(text).replace(SPACE, " ")
                 same.append(model.decode(found) == (wanted[1:] if model.dummy_prefix else wanted))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(ids), pa.int32()) if ids else pa.array([], pa.int32()))
             columns = [batch.column("doc_id"), lists, pa.array([b - a for a, b in zip(offsets, offsets[1:], strict=False)], pa.int64()), pa.array(same)]
@@ -250,14 +305,17 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
     pieces and are restored. Visible-space characters of a text decode as spaces. Repeated rows and
     null ids stay. Other columns are not read. An empty table gives an empty one.
     """
-    arrow_rows(docs.sparkSession, 128)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(_Encode(read_model(model_path)), "doc_id bigint, piece_ids array<int>, n_pieces bigint, restored boolean")
+    arrow_rows(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_Encode(read_model(model_path)), f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, restored boolean")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """(doc_id, text) for every row of encoded (doc_id, piece_ids); a null list has a null text."""
-    arrow_rows(encoded.sparkSession, 128)
+    """(doc_id, text) for every row of encoded (doc_id, piece_ids); a null list has a null text.
+
+    Repeated rows and null ids stay; an empty table gives an empty one. Other columns are not read.
+    """
+    arrow_rows(encoded.sparkSession)
     data = read_model(model_path)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,4 +324,5 @@ def decode_pieces(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
             texts = [None if ids is None else model.decode(ids) for ids in batch.column("piece_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("bigint"), "piece_ids").mapInArrow(decoded, "doc_id bigint, text string")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "piece_ids").mapInArrow(decoded, f"doc_id {kind}, text string")

@@ -76,13 +76,6 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
             raise ValueError("pieces that contain a space after a character are not supported")
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        #: The pieces as a trie of their characters from last to first.
-        self.backwards: dict = {}
-        for piece in self.scores:
-            node = self.backwards
-            for character in reversed(piece):
-                node = node.setdefault(character, {})
-            node[END] = piece
         self.characters = frozenset("".join(self.scores))
         self._pretoken = re.compile(self._cuts())
 
@@ -114,17 +107,9 @@ class PieceModel:
         elif kind == UNKNOWN:
             self.unknown = number
 
-    def normalised(self, text: str) -> str:
-        """What the pieces are matched against: spaces made visible, one put before the text."""
-        if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-
-    def pretokens(self, text: str) -> list[str]:
-        """A text cut where no piece can reach across: before spaces, and around line ends."""
-        return self._pretoken.findall(self.normalised(text))
+    def parts(self, normalised: str) -> list[str]:
+        """A normalised text cut where no piece can reach across: before spaces, and around line ends."""
+        return self._pretoken.findall(normalised)
 
     def fallback(self, character: str) -> list[int]:
         """The numbers for a character that is in no piece."""
