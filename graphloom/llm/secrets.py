@@ -18,12 +18,17 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-#: The added kind: tokens of these characters that look random rather than like identifiers.
+#: The added kind: tokens of these characters that look random rather than like identifiers: of 20
+#: characters or more, or of 12 or more with a digit.
 RANDOM = "random"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]{20,}|(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,})"
 ALPHABET = "".join(chr(c) for c in range(ord("!"), ord("~") + 1))
-#: Least log-likelihood ratio (natural logarithm) of a random token, for each of its characters.
-PER_CHARACTER = 0.35
+#: Least log-likelihood ratio (natural logarithm) of a random token, for each of its characters and
+#: in all: short tokens have to be the more unlike identifiers. Set so that of held-out labelled
+#: identifiers less than one in 500 is taken for random.
+PER_CHARACTER, IN_ALL = 0.35, 9.0
+#: Matches whose positions are summed up at once.
+BLOCK = 64
 
 # Ordinary words of which the labelled sample of identifiers is made.
 ORDINARY = """
@@ -63,9 +68,9 @@ def labelled_strings(per_kind: int = 4000, seed: int = 6) -> tuple[tuple[str, in
     letters = lower + lower.upper() + digits
     alphabets = (letters, letters + "+/", letters + "-_", lower + digits, "0123456789abcdef", lower.upper() + digits)
     for k in range(per_kind):
-        rows.append(("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(20, 64))), 1))
-        chosen = rng.choices(ORDINARY, k=rng.randint(3, 6))
-        style = k % 7
+        rows.append(("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(12, 64))), 1))
+        chosen = rng.choices(ORDINARY, k=rng.randint(2, 6))
+        style = k % 9
         if style == 0:
             name = "_".join(chosen)
         elif style == 1:
@@ -78,8 +83,14 @@ def labelled_strings(per_kind: int = 4000, seed: int = 6) -> tuple[tuple[str, in
             name = "/".join(chosen)
         elif style == 5:
             name = "".join(chosen)
-        else:
+        elif style == 6:
             name = "_".join(chosen) + "_" + str(rng.choice((rng.randint(0, 99), rng.randint(1990, 2035))))
+        elif style == 7:  # numbers as people write them, with a word or not
+            groups = [str(rng.randrange(10 ** rng.randint(2, 8))) for _ in range(rng.randint(2, 4))]
+            name = rng.choice(("", chosen[0].upper() + "-", chosen[0] + "_", "v")) + rng.choice("-_/").join(groups)
+        else:
+            day = f"{rng.randint(1970, 2035)}{rng.choice(('-', '/', ''))}{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+            name = rng.choice((day, f"{chosen[0]}-{day}", f"{day}T{rng.randint(0, 23):02}{rng.randint(0, 59):02}{rng.randint(0, 59):02}", f"{chosen[0]}{rng.randint(1, 9999)}{chosen[1]}", str(rng.randrange(10**11, 10**16))))
         rows.append((name, 0))
     rows += [(c * n, 0) for c in "=-_/+x0" for n in (20, 40, 80)]
     return tuple(rows)
@@ -113,6 +124,10 @@ def ratio(token: str) -> float:
     return sum(table[a * n + b] for a, b in zip(codes[:-1], codes[1:], strict=True)) / len(token)
 
 
+def looks_random(token: str) -> bool:
+    return ratio(token) >= PER_CHARACTER and ratio(token) * len(token) >= IN_ALL
+
+
 def ratio_column(token: Column) -> Column:
     """ratio() of a token of printable ASCII, in built-in functions."""
     n = len(ALPHABET)
@@ -138,7 +153,7 @@ def _placed(text: Column, pattern: str, kind: str, keep=None, value: int = 0) ->
     def of(matches: Column) -> Column:
         gaps = F.split(text, pattern, -1)
         lengths = F.transform(gaps, lambda g, i: F.struct(F.char_length(g).alias("gap"), F.coalesce(F.char_length(F.get(matches, i)), F.lit(0)).alias("own")))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
+        zero = F.lit(0).cast("bigint")
 
         def step(done: Column, piece: Column) -> Column:
             begin = done["at"] + piece["gap"]
@@ -146,7 +161,17 @@ def _placed(text: Column, pattern: str, kind: str, keep=None, value: int = 0) ->
             span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
             return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-        spans = F.slice(F.aggregate(lengths, start, step, lambda done: done["spans"]), F.lit(1), F.size(matches))
+        def summed(blocks: Column) -> Column:
+            """Spans block by block, so that no array grows with all of a text's matches but one number a block."""
+            totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda n, piece: n + piece["gap"] + piece["own"]))
+            first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("all"))
+            more = lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all"))
+            starts = F.aggregate(totals, first, more, lambda done: done["all"])
+            part = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+            return let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: part(b, F.get(at, i)))))
+
+        cut = lambda pieces: F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+        spans = F.slice(let(let(lengths, cut), summed), F.lit(1), F.size(matches))
         if keep is None:
             return spans
         kept = matches if not value else F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
@@ -167,7 +192,7 @@ def base_spans(text: Column) -> Column:
 def random_spans(text: Column, base: Column) -> Column:
     """Spans of random-looking tokens: of such a token that base spans overlap, the parts that they
     leave over, each if it looks random by itself (names before an assignment or a key do not)."""
-    likely = lambda token: ratio_column(token) >= PER_CHARACTER
+    likely = lambda token: let(ratio_column(token), lambda r: (r >= PER_CHARACTER) & (r * F.char_length(token) >= IN_ALL))
     spans = _placed(text, CANDIDATE, RANDOM, likely)
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
 
