@@ -83,14 +83,17 @@ class BoostedTrees:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of label 1."""
-        total = np.full(len(x), self.start)
-        rows = np.arange(len(x))
+        return self.margins(x)[-1]
+
+    def margins(self, x: np.ndarray) -> list[np.ndarray]:
+        """Log-odds of label 1 before the first tree and after each."""
+        out, rows = [np.full(len(x), self.start)], np.arange(len(x))
         for tree in self.fitted:
             at = np.zeros(len(x), int)
             for _ in range(tree.depth):
                 at = 2 * at + 1 + (x[rows, tree.feature[at]] > tree.cut[at])
-            total += tree.value[at - (2**tree.depth - 1)]
-        return total
+            out.append(out[-1] + tree.value[at - (2**tree.depth - 1)])
+        return out
 
     def margin_column(self, features: list[Column]) -> Column:
         """The same as one expression of built-in functions."""

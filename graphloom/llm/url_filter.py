@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.boosting import BoostedTrees
 
-#: Labelled URLs that the trees are fitted on at most (those of the smallest hashes), and the most
-#: suffixes and path heads that get a statistic of their own; the others share the mean.
+#: Labelled URLs that the trees are fitted on at most: those of the smallest hashes.
 SAMPLE_ROWS = 20_000
-MOST_STATISTICS = 200
+#: Rows from which on a suffix or a path head has a statistic of its own; the others share the mean.
+SUPPORT = 50
 #: Strength of the mean in a statistic, in rows.
 PRIOR_ROWS = 10
 
@@ -102,44 +101,29 @@ def _keys(host: Column, path: Column) -> dict[str, Column]:
     return {"suffix": F.substring_index(host, ".", -1), "head": F.regexp_extract(path, "^/([^/]*)", 1)}
 
 
-# The words of which the labelled URLs are made.
-SITE_WORDS = """
-library museum weather garden river school science history travel cooking music football health cinema market
-village theatre journal archive gazette herald review academy college institute forum kitchen mountain harbour
-station council parish region county society union research medical nature bridge castle orchard pottery
-""".split()
-SPAM_WORDS = """
-cheap free win bonus casino bets pills loans crypto deal deals discount prize click ads track traffic seo farm
-spam hot sexy cash money fast easy best promo offer coupon slots poker lotto replica diet miracle hack crack
-""".split()
-SITE_HEADS = ("en", "de", "fr", "es", "news", "blog", "docs", "article", "wiki", "about", "events", "archive")
-SPAM_HEADS = ("buy", "click", "go", "offer", "win", "track", "redirect", "promo", "en", "de", "fr", "es")
-SUFFIXES = ("com", "net", "org", "example.com", "example.net", "example.org", "info", "edu")
-SPAM_SUFFIXES = ("com", "net", "org", "example.com", "example.net", "example.org", "info", "xyz", "top")
-
-
-def labelled_urls(spark: SparkSession, per_kind: int = 1500, seed: int = 10) -> DataFrame:
-    """The labelled sample (url, verdict): ordinary sites and sites as spammers name them."""
-    rng, rows = random.Random(seed), []
-    tails = ("", "", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed", "?id=7")
-    for _ in range(per_kind):
-        name = "".join(rng.choices(SITE_WORDS, k=rng.randint(1, 2)))
-        name = name[: rng.randint(4, 14)] if rng.random() < 0.6 else name
-        if rng.random() < 0.04:
-            name = "-".join(rng.choices(SITE_WORDS, k=2))
-        lead = rng.choice(("", "", "www.", "blog.", "m."))
-        url = f"{rng.choice(('http', 'https'))}://{lead}{name}.{rng.choice(SUFFIXES)}/{rng.choice(SITE_HEADS)}/{rng.randint(1, 99999)}{rng.choice(tails)}"
-        rows.append((url, "allow"))
-        name = "-".join(rng.choices(SPAM_WORDS, k=rng.randint(2, 4)))
-        if rng.random() < 0.3:
-            name = name.replace("-", "") + str(rng.randint(1, 9999))
-        query = "?" + "&".join(f"{rng.choice('abcdexyz')}{k}={rng.getrandbits(40):x}" for k in range(rng.randint(2, 8)))
-        tail = query if rng.random() < 0.4 else rng.choice(tails)
-        lead = rng.choice(("", "", "www.", "blog.", "m.", f"{rng.getrandbits(24):x}."))
-        url = f"{rng.choice(('http', 'https'))}://{lead}{name}.{rng.choice(SPAM_SUFFIXES)}/{rng.choice(SPAM_HEADS)}/{rng.randint(1, 99999)}{tail}"
-        rows.append((url, "block"))
-    values = ",".join(f"('{url}','{verdict}')" for url, verdict in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS labelled(url, verdict)")
+#: Words of visible text for each link: pages of fewer are labelled as to be blocked, of more as to be
+#: allowed; those between have no label.
+SPARSE, RICH = 15, 30
+
+
+def page_labels(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(url, verdict) of a sample of pages (page_id, url, html), labelled by what the pages hold.
+
+    Such pages as link farms hold little text for their links; that is all these labels say. They are
+    read from the page, never from its address, so the trees cannot learn the rule itself: only
+    whether addresses tell such pages. About sample_rows rows are labelled, of the smallest hashes of
+    page_id and url; pages without a URL or a content have no label.
+    """
+    if "html" not in pages.columns:
+        return pages.select("url", F.lit(None).cast("string").alias("verdict")).limit(0)
+    every = max(1, pages.count() // sample_rows)
+    rows = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & (F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0))
+    hidden = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
+    count = lambda of, pattern: F.size(F.regexp_extract_all(of, F.lit(pattern), F.lit(0)))
+    words, links = count(F.regexp_replace("html", hidden, " "), r"\S+"), count(F.col("html"), r"(?i)<a\s")
+    share = words / (links + 1)
+    verdict = F.when(share < SPARSE, "block").when(share >= RICH, "allow")
+    return rows.select("url", verdict.alias("verdict")).where("verdict is not null")
 
 
 class UrlModel:
@@ -149,24 +133,28 @@ class UrlModel:
         self.trees = BoostedTrees(trees=trees, depth=depth, rate=0.3)
         self.shares: dict[str, dict[str, float]] = {}
         self.mean = 0.5
+        self.known = False  # whether there were labels
 
     def fit(self, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
         """labelled: url and verdict (allow or block). Rows of other verdicts are left out.
 
         At most sample_rows rows, of the smallest hashes of their URLs, reach the driver, as numbers and
         short keys. Statistics that a row's own label is part of would leak it, so the trees see
-        shares counted on the other half of the sample.
+        shares counted on the other half of the hosts. A quarter of the hosts is held out: so many
+        trees are kept as serve it best, none if addresses tell nothing of other hosts' labels.
         """
         rows = labelled.where(F.col("verdict").isin("allow", "block")).select("url", (F.col("verdict") == "block").cast("int").alias("y"))
-        rows = rows.orderBy(F.xxhash64("url"), "url").limit(sample_rows)
+        rows = rows.orderBy(F.xxhash64("url"), "url", "y").limit(sample_rows)
         host, path = host_of(F.col("url")), path_of(F.col("url"))
         keys = _keys(host, path)
         numbers = F.array(*lexical_features(F.col("url"), host, path).values())
-        found = rows.select("y", numbers.alias("x"), *[v.alias(k) for k, v in keys.items()], F.pmod(F.xxhash64(F.lit(7), "url"), F.lit(2)).alias("half")).collect()
+        found = rows.select("y", numbers.alias("x"), *[v.alias(k) for k, v in keys.items()], F.pmod(F.xxhash64(F.lit(7), host), F.lit(8)).cast("int").alias("fold")).collect()
         if not found:
             return self
-        y, half = np.array([r.y for r in found]), np.array([r.half for r in found])
+        y, fold = np.array([r.y for r in found]), np.array([r.fold for r in found])
+        half, held = fold % 2, fold >= 6
         x = np.array([r.x for r in found]).reshape(len(found), -1)
+        self.known = True
         self.mean = float((y.sum() + 1) / (len(y) + 2))
         extra = []
         for k in keys:
@@ -174,7 +162,11 @@ class UrlModel:
             self.shares[k] = self._share(values, y)
             halves = [self._share(values[half != h], y[half != h]) for h in (0, 1)]
             extra.append([halves[h].get(v, self.mean) for v, h in zip(values, half, strict=True)])
-        self.trees.fit(np.column_stack([x, *extra]), y)
+        x = np.column_stack([x, *extra])
+        self.trees.fit(x[~held], y[~held])
+        if held.any():
+            losses = [np.logaddexp(0, np.where(y[held] == 1, -m, m)).mean() for m in self.trees.margins(x[held])]
+            del self.trees.fitted[int(np.argmin(losses)) :]
         return self
 
     def _share(self, values: np.ndarray, y: np.ndarray) -> dict[str, float]:
@@ -182,8 +174,7 @@ class UrlModel:
             return {}
         names, at, n = np.unique(values.astype(str), return_inverse=True, return_counts=True)
         blocked = np.bincount(at, y, len(names))
-        most = np.argsort(-n, kind="stable")[:MOST_STATISTICS]
-        return {str(names[i]): float((blocked[i] + PRIOR_ROWS * self.mean) / (n[i] + PRIOR_ROWS)) for i in most}
+        return {str(names[i]): float((blocked[i] + PRIOR_ROWS * self.mean) / (n[i] + PRIOR_ROWS)) for i in np.flatnonzero(n >= SUPPORT)}
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows (url, host, path and others) with __score, the probability of a block."""
@@ -201,20 +192,21 @@ class UrlModel:
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, block_score) for every row of pages (page_id, url).
+    """(page_id, host, path, rule, verdict, block_score) for every row of pages (page_id, url, html).
 
     A URL that a rule fits gets the longest rule's verdict; any other is blocked if the trees give
-    a block a probability of one half or more. The trees are fitted on labelled (url, verdict),
-    by default on labelled_urls(); without labelled URLs all others are allowed. A null URL, or one without ://, has an empty host and path, fits no rule and is judged
-    by the trees like any other. Very long URLs are read whole. Repeated rows and null ids stay.
-    Columns but these two are not read. An empty table gives an empty one.
+    a block a probability of one half or more. The trees are fitted on labelled (url, verdict), by
+    default on page_labels(); without labelled URLs all others are allowed. A null URL, or one
+    without ://, has an empty host and path, fits no rule and is judged by the trees like any other.
+    Very long URLs are read whole. Repeated rows and null ids stay. Other columns are not read. An
+    empty table gives an empty one.
     """
     rows = pages.select("page_id", "url")
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    model = UrlModel().fit(labelled_urls(pages.sparkSession) if labelled is None else labelled)
+    model = UrlModel().fit(page_labels(pages) if labelled is None else labelled)
     scored = model.score(rows)
-    by_score = F.when(F.col("__score") >= 0.5, "block").otherwise("allow") if model.trees.fitted else F.lit("allow")
+    by_score = F.when(F.col("__score") >= 0.5, "block").otherwise("allow") if model.known else F.lit("allow")
     return scored.select(
         "page_id", "host", "path", F.col("__rule.rule").alias("rule"),
         F.coalesce(F.col("__rule.verdict"), by_score).alias("verdict"), F.col("__score").alias("block_score"),
