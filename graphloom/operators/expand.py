@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import NotSupported
@@ -153,34 +153,134 @@ def var_expand(df: DataFrame, steps: DataFrame, var: RelListVar, start: str, end
 
     In a trail no relationship occurs twice. Without an upper bound, or beyond UNROLLED steps, each
     step's rows are stored, so that no later step computes them again, and the expansion ends when
-    a step finds no more.
+    a step finds no more. Stored rows hold the paths alone, one for each different start; the other
+    columns of df are joined to them in the end.
     """
     if high is None and not trail:
         raise NotSupported("a walk without an upper bound may never end")
-    ids, rels = f"{var.prefix}__ids", f"{var.prefix}__rels"
-    front = df.withColumn(end, F.col(start)).withColumn(ids, F.array().cast("array<bigint>"))
-    if var.whole:
-        front = front.withColumn(rels, F.array().cast(f"array<{steps.schema['rel'].dataType.simpleString()}>"))
-    found = [front] if low == 0 else []
     stored = high is None or high > UNROLLED
+    front = _front(df.select(start).distinct() if stored else df, steps, var, start, end)
+    found = [front] if low == 0 else []
     length = 0
     while high is None or length < high:
         length += 1
         if length > MOST_STEPS:
             raise NotSupported(f"no end after {MOST_STEPS} steps")
-        joined = front.join(steps, F.col(end) == F.col("src"))
-        if trail:
-            joined = joined.where(~F.array_contains(ids, F.col("rid")))
-        joined = joined.withColumn(ids, F.array_append(ids, F.col("rid"))).withColumn(end, F.col("dst"))
-        if var.whole:
-            joined = joined.withColumn(rels, F.array_append(rels, F.col("rel")))
-        front = joined.select(*front.columns)
+        front = _onward(front, steps, var, end, trail).select(*front.columns)
         if stored:
             front = materialize(front)
             if front.isEmpty():
                 break
         if length >= low:
             found.append(front)
+    out = union_all(found) if found else front.where(F.lit(False))
+    return df.join(out, start) if stored else out
+
+
+def _front(df: DataFrame, steps: DataFrame, var: RelListVar, start: str, end: str) -> DataFrame:
+    """df with empty paths that end where they start."""
+    front = df.withColumn(end, F.col(start)).withColumn(f"{var.prefix}__ids", F.array().cast("array<bigint>"))
+    if var.whole:
+        front = front.withColumn(f"{var.prefix}__rels", F.array().cast(f"array<{steps.schema['rel'].dataType.simpleString()}>"))
+    return front
+
+
+def _onward(front: DataFrame, steps: DataFrame, var: RelListVar, end: str, trail: bool) -> DataFrame:
+    """The paths of front, each a step longer, with the columns of the step."""
+    ids, rels = f"{var.prefix}__ids", f"{var.prefix}__rels"
+    joined = front.join(steps, F.col(end) == F.col("src"))
+    if trail:
+        joined = joined.where(~F.array_contains(ids, F.col("rid")))
+    joined = joined.withColumn(ids, F.array_append(ids, F.col("rid"))).withColumn(end, F.col("dst"))
+    return joined.withColumn(rels, F.array_append(rels, F.col("rel"))) if var.whole else joined
+
+
+def shortest(ends: DataFrame, steps: DataFrame, var: RelListVar, start: str, end: str, low: int, high: int | None, every: bool, rings: bool, wanted: bool) -> DataFrame:
+    """(start, end, lists) of a shortest path, or of every one, for each pair of nodes that paths link.
+
+    ends holds the different starts, or, if wanted, the different pairs (start, end) that are asked
+    for. Level by level, a node is reached from each start once: what leads to it again later is
+    dropped, so the work is bounded by pairs of nodes, not by trails. A shortest path holds no node
+    twice, so it is a trail, but for a way back to the start by the relationship that led away from
+    it; if rings (steps go either way in a trail), ways back to the start are searched apart.
+    low is 0 or 1. Levels are stored, but for one path each of up to UNROLLED steps (_few_levels()).
+    """
+    keep = [start, end, f"{var.prefix}__ids", *([f"{var.prefix}__rels"] if var.whole else [])]
+    starts = ends.select(start).distinct()
+    if not every and high is not None and high <= UNROLLED:
+        out = _few_levels(starts, steps, var, start, end, low, high, rings).select(*keep)
+        return out.join(ends, [start, end], "left_semi") if wanted else out
+    found = []
+    if low == 0:
+        found.append(_front(starts, steps, var, start, end))
+
+    def search(first: list[str], apart: bool) -> None:
+        """first: more columns by which states differ. apart: only ways back to the start are kept."""
+        key = [start, *first, end]
+        front = _front(starts, steps, var, start, end)
+        reached = [front.select(start, end)] if (rings or low == 0) and not apart else []
+        left = ends if wanted else None
+        if left is not None:
+            left = left.where(F.col(start).eqNullSafe(F.col(end))) if apart else left
+            for done in reached:
+                left = left.join(done, [start, end], "left_anti")
+        length = 0
+        while high is None or length < high:
+            length += 1
+            if length > MOST_STEPS:
+                raise NotSupported(f"no end after {MOST_STEPS} steps")
+            rows = _onward(front, steps, var, end, False)
+            if first and length == 1:
+                rows = rows.withColumn(first[0], F.col("rid"))
+            if apart:  # the last step of a ring is not its first one
+                rows = rows.where((F.col(end) != F.col(start)) | (length == 1) | (F.col("rid") != F.col(first[0])))
+            rows = rows.select(*keep, *first)
+            for done in reached:
+                rows = rows.join(done, key, "left_anti")
+            if not every:
+                rows = rows.dropDuplicates(key)
+            rows = materialize(rows)
+            if rows.isEmpty():
+                break
+            if apart:
+                closed = rows.where(F.col(start) == F.col(end)).select(*keep)
+                found.append(closed if every else closed.dropDuplicates([start]))
+                front = rows.where(F.col(start) != F.col(end)).join(closed.select(start).distinct(), start, "left_anti")
+                reached.append(front.select(*key).distinct())
+            else:
+                found.append(rows)
+                front = rows
+                reached.append(rows.select(*key).distinct())
+            if left is not None:
+                left = left.join(found[-1].select(start, end), [start, end], "left_anti")
+                open_ = materialize(left)
+                if open_.isEmpty():
+                    break
+                left = open_
+                front = front.join(open_.select(start).distinct(), start, "left_semi")
+
+    search([], False)
+    if rings and low == 1:
+        search([f"{var.prefix}__first"], True)
     if not found:
-        return front.where(F.lit(False))
-    return union_all(found)
+        return _front(starts, steps, var, start, end).where(F.lit(False)).select(*keep)
+    out = union_all([f.select(*keep) for f in found])
+    return out.join(ends, [start, end], "left_semi") if wanted else out
+
+
+def _few_levels(starts: DataFrame, steps: DataFrame, var: RelListVar, start: str, end: str, low: int, high: int, rings: bool) -> DataFrame:
+    """shortest() for one path each, as one plan: every level keeps one path to a node (of rings: for
+    each first step, which a way back must not end with), then the shortest of all levels is taken."""
+    first = [f"{var.prefix}__first"] if rings else []
+    front = _front(starts, steps, var, start, end)
+    columns = front.columns
+    found = [front] if low == 0 else []
+    for length in range(1, high + 1):
+        rows = _onward(front, steps, var, end, rings)
+        rows = rows.withColumn(first[0], F.col("rid")) if first and length == 1 else rows
+        front = rows.select(*columns, *first)
+        if 1 < length < high:
+            front = front.dropDuplicates([start, *first, end])
+        found.append(front.select(*columns))
+    order = Window.partitionBy(start, end).orderBy(F.size(f"{var.prefix}__ids"))
+    return union_all(found).withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")

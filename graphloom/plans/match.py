@@ -36,6 +36,7 @@ class Matcher:
         self.semantics, self.rel_uniqueness = semantics, rel_uniqueness
         self.numbers = itertools.count()
         self.steps: list[str] = []  # the logical plan, line by line
+        self._paths: str | None = None  # the selector, while its paths are searched level by level
         #: Tables and needs of an outer node that an optional pattern starts from anew.
         self.seeds: dict[str, tuple[list, Need]] = {}
 
@@ -216,6 +217,7 @@ class Matcher:
         """One part by itself, in the order of its chain."""
         part, names, rel_names, whole = named.part, named.nodes, named.rels, named.whole
         chain, before = part.chain, list(frame.scope)
+        self._paths = self._by_levels(part)
         at = next((i for i, n in enumerate(names) if n in frame.scope), 0)
         unread = self._unread(frame, names[at], chain, whole)
         frame = Frame(frame.df, {**frame.scope, names[at]: unread}) if unread else self._node(frame, names[at], chain.nodes[at], whole)
@@ -224,7 +226,11 @@ class Matcher:
         for i in range(at - 1, -1, -1):
             frame = self._step(frame, names[i + 1], chain.rels[i], rel_names[i], names[i], chain.nodes[i], trail, whole, True)
         steps = self._path(frame, named)
-        frame = self._select(frame, part.selector, steps, names)
+        if self._paths:
+            self.steps.append(f"Select {' '.join(map(str, part.selector))} by levels")
+            self._paths = None
+        else:
+            frame = self._select(frame, part.selector, steps, names)
         # Nodes come before relationships where all variables are listed.
         ordered = dict.fromkeys([*before, *names, *rel_names])
         frame.scope = {n: frame.scope[n] for n in ordered if not n.startswith(HIDDEN)}
@@ -232,6 +238,21 @@ class Matcher:
             frame.scope[part.variable] = PathVar(steps)
         return frame
 
+    def _shortest(self, df: DataFrame, steps: DataFrame, var: RelListVar, start: str, target: str, bound: NodeVar | None, rel: a.RelPattern, trail: bool) -> DataFrame:
+        """df with the shortest paths from start, or to the bound end, searched level by level."""
+        low, high = rel.length
+        ends = df.select(start).distinct() if bound is None else df.select(start, F.col(bound.prefix).alias(target)).distinct()
+        found = expand.shortest(ends, steps, var, start, target, low, high, self._paths == "all shortest", trail and rel.direction == a.BOTH, bound is not None)
+        return df.join(found, start)
+
+    def _by_levels(self, part: a.PatternPart) -> str | None:
+        """The selector, if the part's paths are one variable length of which the shortest are asked for."""
+        selector, rels = part.selector, part.chain.rels
+        if len(rels) != 1 or not isinstance(rels[0], a.RelPattern) or rels[0].length is None or rels[0].length[0] > 1:
+            return None
+        one = selector[0] in ("any", "shortest") and (len(selector) == 1 or selector[1] == 1)
+        return selector[0] if one or selector[0] == "all shortest" else None
+
     def _select(self, frame: Frame, selector: tuple, steps: list, names: list[str]) -> Frame:
         """Keeps some of the paths between each pair of ends, the shorter first."""
         if selector[0] == "all":
@@ -376,7 +397,10 @@ class Matcher:
             if rel.properties or rel.where is not None:
                 steps = self._filtered_steps(found, var, rel, rel_name)
             low, high = rel.length
-            df = expand.var_expand(frame.df, steps, var, start.prefix, target, low, high, trail)
+            if self._paths:
+                df = self._shortest(frame.df, steps, var, start.prefix, target, bound, rel, trail)
+            else:
+                df = expand.var_expand(frame.df, steps, var, start.prefix, target, low, high, trail)
             if backwards:
                 df = df.withColumn(f"{var.prefix}__ids", F.reverse(f"{var.prefix}__ids"))
                 df = df.withColumn(f"{var.prefix}__rels", F.reverse(f"{var.prefix}__rels")) if var.whole else df
