@@ -17,11 +17,15 @@ ID_BLOCK = 1 << 48
 
 @dataclass(frozen=True)
 class NodeTable:
-    """Nodes of one set of labels. df has the column `id` and a column for each property."""
+    """Nodes of one set of labels. df has the column `id` and a column for each property.
+
+    A table that is kept apart is not joined with what CREATE adds (its owner replaces it).
+    """
 
     labels: tuple[str, ...]
     df: DataFrame
     types: dict[str, Type]
+    apart: bool = False
 
 
 @dataclass

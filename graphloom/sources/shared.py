@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
 
@@ -54,3 +55,15 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.graphloom_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint if the (stored) table has at most so many rows, else df itself."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """The addresses of the files that match a pattern, on any file system; none if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
