@@ -18,9 +18,22 @@ SCALARS: dict[str, Scalar] = {}
 AGGREGATES = ("count", "sum", "avg", "min", "max", "collect", "stdev")
 
 
-def scalar(*names: str):
+def scalar(*names: str, counts: tuple[int, int] | None = None, takes: Callable[[Type], bool] | None = None):
+    """Registers a function of a list of values and the text of the call. counts: how many arguments
+    there may be; takes: which types the first may have."""
+
     def add(make: Scalar) -> Scalar:
-        SCALARS.update(dict.fromkeys(names, make))
+        def checked(name: str) -> Scalar:
+            def run(args: list[Value], context: str) -> Value:
+                if counts is not None and not counts[0] <= len(args) <= counts[1]:
+                    raise refuse(name, args, context)
+                if takes is not None and not takes(args[0].type):
+                    raise refuse(name, args, context)
+                return make(args, context)
+
+            return run
+
+        SCALARS.update({name: checked(name) for name in names})
         return make
 
     return add
@@ -138,32 +151,40 @@ _number("abs", F.abs, None)
 _number("floor", lambda c: F.floor(c).cast("double"))
 _number("ceil", lambda c: F.ceil(c).cast("double"))
 _number("round", lambda c: F.round(c).cast("double"))
+_number("sign", lambda c: F.signum(c).cast("bigint"), INT)
+
+
+def _plain(kind: Type) -> bool:
+    return kind in (*NUMBERS, STRING, BOOL, NULL, ANY)
 
 
-@scalar("toInteger")
+@scalar("toInteger", counts=(1, 1), takes=_plain)
 def _to_integer(args, context):
+    """A number without its fraction, also from a text; null for a text that is no number."""
     (a,) = args
-    return Value(F.try_to_number(a.column, F.lit("S9999999999999999999")).cast("bigint") if a.type == STRING else a.column.cast("bigint"), INT)
+    if a.type != STRING:
+        return Value(a.column.cast("bigint"), INT)
+    return Value(F.coalesce(a.column.try_cast("bigint"), a.column.try_cast("double").try_cast("bigint")), INT)
 
 
-@scalar("toFloat")
+@scalar("toFloat", counts=(1, 1), takes=_plain)
 def _to_float(args, context):
     (a,) = args
     return Value(a.column.try_cast("double"), FLOAT)
 
 
-@scalar("toString")
+@scalar("toString", counts=(1, 1))
 def _to_string(args, context):
     return Value(ops.printed(args[0]), STRING)
 
 
-@scalar("coalesce")
+@scalar("coalesce", counts=(1, 99))
 def _coalesce(args, context):
     kind = common([a.type for a in args])
     return Value(F.coalesce(*[ops.cast(a, kind) for a in args]), kind)
 
 
-@scalar("substring")
+@scalar("substring", counts=(2, 3), takes=lambda t: t in (STRING, NULL))
 def _substring(args, context):
     text, start = args[0].column, args[1].column.cast("int")
     size = args[2].column.cast("int") if len(args) > 2 else F.char_length(text)
@@ -173,7 +194,7 @@ def _substring(args, context):
 # Lists, entities and paths
 
 
-@scalar("size", "length")
+@scalar("size", "length", counts=(1, 1))
 def _size(args, context):
     (a,) = args
     if a.type == STRING:
@@ -187,13 +208,13 @@ def _size(args, context):
     raise refuse("size", args, context)
 
 
-@scalar("head", "last")
+@scalar("head", "last", counts=(1, 1))
 def _end(args, context):
     at = Value(F.lit(-1 if context.startswith("last") else 0), INT)
     return ops.index(args[0], at, context)
 
 
-@scalar("range")
+@scalar("range", counts=(2, 3), takes=lambda t: t == INT)
 def _range(args, context):
     low, high = args[0].column, args[1].column
     step = args[2].column if len(args) > 2 else F.lit(1).cast("bigint")
@@ -205,14 +226,14 @@ def _range(args, context):
 def _nodes(args, context):
     if len(args) != 1 or args[0].type != PATH:
         raise refuse("nodes", args, context)
-    return Value(args[0].column["nodes"], list_of(NODE))
+    return Value(args[0].column["nodes"], list_of(Type(NODE.name, props=dict(args[0].type.props).get("nodes", ()))))
 
 
 @scalar("relationships")
 def _relationships(args, context):
     if len(args) != 1 or args[0].type != PATH:
         raise refuse("relationships", args, context)
-    return Value(args[0].column["rels"], list_of(REL))
+    return Value(args[0].column["rels"], list_of(Type(REL.name, props=dict(args[0].type.props).get("rels", ()))))
 
 
 @scalar("labels")
@@ -229,7 +250,7 @@ def _type(args, context):
     return Value(args[0].column["rtype"], STRING)
 
 
-@scalar("id")
+@scalar("id", counts=(1, 1), takes=lambda t: t in (NODE, REL))
 def _id(args, context):
     return Value(args[0].column["id"], INT)
 

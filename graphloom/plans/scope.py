@@ -258,7 +258,9 @@ class Evaluator:
             kind = Type(REL.name, props=tuple(merged_types(var.tables).items()) if var.whole else ())
             return Value(F.col(f"{var.prefix}__rels" if var.whole else f"{var.prefix}__ids"), list_of(kind), var)
         if isinstance(var, PathVar):
-            return Value(path_value(var), PATH, var)
+            kinds = {"nodes": [s for s in var.steps if isinstance(s, NodeVar)], "rels": [s for s in var.steps if not isinstance(s, NodeVar)]}
+            props = tuple((k, tuple(merged_types([t for s in steps for t in s.tables]).items())) for k, steps in kinds.items())
+            return Value(path_value(var), Type(PATH.name, props=props), var)
         return Value(F.col(f"`{var.name}`"), var.type)
 
     def _property(self, e: a.Property, context: str) -> Value:
