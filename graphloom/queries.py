@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.errors import ConstraintError, CypherError
+from graphloom.functions import registry
 from graphloom.session import GraphSession
 from graphloom.sources.graph import PropertyGraph
+from graphloom.sources.shared import shared_dir
 from graphloom.sources.tables import event_graph, sales_graph, turn_graph
 
 #: name -> (graph, Cypher, SQL or None)
@@ -119,6 +125,28 @@ add("date_duration", "MATCH (o:Order {o_orderstatus: 'F'}) RETURN o.o_orderkey A
 add("date_diff", "MATCH (o:Order) WITH o.o_orderkey AS k, date(o.o_orderdate) - date('1990-01-01') AS d RETURN k, d = duration('P0D') AS same, toString(d) AS t", "SELECT o_orderkey AS k, false AS same, 'P0M' || (CAST(o_orderdate AS DATE) - DATE '1990-01-01') || 'DT0S0' AS t FROM orders")
 add("local_date_time", "MATCH (e:Event) WHERE e.ts + duration('PT1H') < localdatetime('2024-01-10T00:00:00') RETURN count(*) AS n", "SELECT count(*) AS n FROM events WHERE ts + INTERVAL 1 HOUR < TIMESTAMP '2024-01-10 00:00:00'", event_graph)
 
+add("concat_operator", "MATCH (n:Nation) RETURN n.n_name || '/' || n.n_name AS t, size([n.n_nationkey] || [1, 2]) AS n", "SELECT n_name || '/' || n_name AS t, CAST(3 AS BIGINT) AS n FROM nation")
+add("map_literal", "MATCH (n:Nation) WITH {name: n.n_name, at: {region: n.n_regionkey}} AS m RETURN m.name AS name, m.at.region + 1 AS r", "SELECT n_name AS name, CAST(n_regionkey + 1 AS BIGINT) AS r FROM nation")
+add("conversions", "MATCH (p:Part) RETURN p.p_partkey AS k, toInteger(toString(p.p_size)) + 1 AS i, toFloat(toString(p.p_size)) / 4 AS f, toInteger(p.p_name) AS none", "SELECT p_partkey AS k, CAST(p_size + 1 AS BIGINT) AS i, p_size / CAST(4 AS DOUBLE) AS f, CAST(NULL AS BIGINT) AS none FROM part")
+add("math", "MATCH (p:Part) RETURN p.p_partkey AS k, abs(10 - p.p_size) AS a, sqrt(p.p_size * p.p_size) AS s, floor(p.p_size / 4.0) AS f, ceil(p.p_size / 4.0) AS c, sign(10 - p.p_size) AS g", "SELECT p_partkey AS k, CAST(abs(10 - p_size) AS BIGINT) AS a, CAST(p_size AS DOUBLE) AS s, CAST(floor(p_size / CAST(4 AS DOUBLE)) AS DOUBLE) AS f, CAST(ceil(p_size / CAST(4 AS DOUBLE)) AS DOUBLE) AS c, CAST(sign(10 - p_size) AS BIGINT) AS g FROM part")
+add("local_time", "MATCH (e:Event) WITH localtime(e.ts) AS t, e.event_id AS k RETURN k, toString(t + duration('PT25H')) = toString(t + duration('PT1H')) AS round, t < localtime('12:00:00') AS early", "SELECT event_id AS k, true AS round, CAST(ts AS TIME) < TIME '12:00:00' AS early FROM events", event_graph)
+add("zoned_date_time", "MATCH (n:Nation) WITH n.n_name AS name, datetime('2024-01-31T23:30:00+02:00') + duration('P' + n.n_regionkey + 'M') AS z RETURN name, z > datetime('2024-03-01T00:00:00+00:00') AS late, toString(date(z)) AS d", "SELECT n_name AS name, n_regionkey >= 2 AS late, CAST(CAST(DATE '2024-01-31' + to_months(CAST(n_regionkey AS INTEGER)) AS DATE) AS VARCHAR) AS d FROM nation")
+add("infinity", "MATCH (p:Part) RETURN p.p_partkey AS k, p.p_retailprice < INF AS a, 1 / 0.0 = INF AS b", "SELECT p_partkey AS k, true AS a, true AS b FROM part")
+add("stdev", "MATCH (c:Customer) RETURN c.c_mktsegment AS seg, round(stdev(c.c_acctbal)) AS s", "SELECT c_mktsegment AS seg, round(stddev_samp(c_acctbal)) AS s FROM customer GROUP BY c_mktsegment")
+add("mixed_list", "MATCH (r:Region) WITH r.r_name AS name, [r.r_name, r.r_regionkey, true] AS xs RETURN name, size(xs) AS n, size(xs[1..]) AS m", "SELECT r_name AS name, CAST(3 AS BIGINT) AS n, CAST(2 AS BIGINT) AS m FROM region")
+
+# Paths and their selectors
+
+add("with_order_before_where", "MATCH (c:Customer) WITH c.c_custkey AS k ORDER BY k SKIP 2 LIMIT 10 WHERE k % 2 = 0 RETURN k", "SELECT k FROM (SELECT c_custkey AS k FROM customer ORDER BY k LIMIT 10 OFFSET 2) t WHERE k % 2 = 0")
+add("walk", "MATCH WALK (a:Turn {turn: 1})-[r:TURN_NEXT*2]-(b:Turn) RETURN a.turn_id AS a, b.turn_id AS b, count(*) AS n", f"{_TURNS}, u AS (SELECT a, b FROM t WHERE b IS NOT NULL UNION ALL SELECT b, a FROM t WHERE b IS NOT NULL) SELECT x.a, y.b, count(*) AS n FROM u x JOIN u y ON x.b = y.a WHERE x.a % 1000 = 1 GROUP BY x.a, y.b", turn_graph)
+add("var_prefilter", "MATCH (o:Order {o_orderstatus: 'P'})-[l:CONTAINS*1..2 {l_returnflag: 'N'}]->(p) RETURN o.o_orderkey AS k, count(*) AS n", "SELECT o_orderkey AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_returnflag = 'N' GROUP BY o_orderkey")
+add("path_functions", "MATCH p = (a:Turn {turn: 0})-[:TURN_NEXT]->(b)-[:TURN_NEXT]->(c) WITH nodes(p) AS ns, relationships(p) AS rs RETURN ns[0].turn_id AS a, ns[-1].turn_id AS c, size(ns) AS n, size(rs) AS m, type(rs[0]) AS t", f"{_TURNS} SELECT x.a, y.b AS c, CAST(3 AS BIGINT) AS n, CAST(2 AS BIGINT) AS m, 'TURN_NEXT' AS t FROM t x JOIN t y ON x.b = y.a WHERE x.a % 1000 = 0 AND y.b IS NOT NULL", turn_graph)
+add("all_shortest", "MATCH p = ALL SHORTEST PATHS (a:Turn {turn: 0})-[:TURN_NEXT*1..3]-(b:Turn) RETURN b.turn_id AS b, length(p) AS n", "SELECT conv_id * 1000 + turn AS b, turn AS n FROM conversations WHERE turn BETWEEN 1 AND 3", turn_graph)
+add("all_shortest_parallel", "MATCH p = ALL SHORTEST PATHS (o:Order {o_orderstatus: 'P'})-[:CONTAINS*1..2]->(x:Part) RETURN o.o_orderkey AS o, x.p_partkey AS x, count(*) AS n", "SELECT o_orderkey AS o, l_partkey AS x, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1, 2")
+add("shortest_k", "MATCH p = SHORTEST 2 PATHS (a:Turn {turn: 1})-[:TURN_NEXT*1..3]->(b:Turn) RETURN b.turn_id AS b, length(p) AS n", "SELECT conv_id * 1000 + turn AS b, turn - 1 AS n FROM conversations WHERE turn BETWEEN 2 AND 4", turn_graph)
+add("shortest_groups", "MATCH p = SHORTEST 1 PATH GROUPS (o:Order {o_orderstatus: 'P'})-[:CONTAINS*1..2]->(x:Part) RETURN o.o_orderkey AS o, x.p_partkey AS x, count(*) AS n", "SELECT o_orderkey AS o, l_partkey AS x, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1, 2")
+add("any_k", "MATCH p = ANY 2 PATHS (o:Order {o_orderstatus: 'P'})-[:CONTAINS*1..2]->(x:Part) RETURN o.o_orderkey AS o, x.p_partkey AS x, count(*) AS n", "SELECT o_orderkey AS o, l_partkey AS x, least(count(*), 2) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1, 2")
+
 
 # Statements that write, as functions
 
@@ -132,8 +160,6 @@ def create_then_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constraint_keeps_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unique constraint over all orders, and whether it turned a duplicate away."""
-    from graphloom.errors import ConstraintError
-
     g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
     g.cypher("CREATE CONSTRAINT order_key FOR (o:Order) REQUIRE o.o_orderkey IS UNIQUE")
     try:
@@ -150,11 +176,136 @@ def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.cypher(f"LOAD PARQUET FROM '{sf_dir}/nation.parquet' AS row MATCH (r:Region) WHERE r.r_regionkey = row.n_regionkey RETURN row.n_name AS nation, r.r_name AS region")
 
 
+def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as CSV, read back as maps of texts and made nodes of."""
+    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.csv(path, header=True)
+    g = GraphSession(spark)
+    g.cypher(f"LOAD CSV FROM '{path}' OPTIONS {{header: true}} AS row CREATE (:Nation {{key: toInteger(row.n_nationkey), name: row.n_name}})")
+    return g.cypher("MATCH (n:Nation) RETURN n.key AS k, n.name AS name")
+
+
+def load_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.json(path)
+    return GraphSession(spark).cypher(f"LOAD JSON FROM '{path}' AS row RETURN row.r_regionkey + 1 AS k, row.r_name AS name")
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that have to be refused, each with the kind of error that it met."""
+    graph, found = registered(sales_graph, spark, sf_dir), []
+    for name, text in REFUSED.items():
+        try:
+            GraphSession(spark, graph).cypher(text)
+            found.append((name, "none"))
+        except CypherError as error:
+            found.append((name, type(error).__name__))
+    return spark.createDataFrame(found, "statement string, error string")
+
+
+#: Statements of refusals(), by what is wrong with them.
+REFUSED = {
+    "no return items": "MATCH () RETURN *",
+    "relationship twice": "MATCH (a)-[r]->(b)-[r]->(c) RETURN a",
+    "aggregate of an aggregate": "MATCH (n:Nation) RETURN sum(count(n))",
+    "unknown format": "LOAD XML FROM 'x' AS r RETURN r",
+    "unknown option": "LOAD CSV FROM 'x' OPTIONS {quote: 'q'} AS r RETURN r",
+    "late load": "MATCH (n:Nation) LOAD CSV FROM 'x' AS r RETURN r",
+    "endless walk": "MATCH WALK (a)-[*]->(b) RETURN a",
+    "unknown variable": "MATCH (n:Nation) RETURN m.n_name",
+}
+
+
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints of each kind over the sales graph: whether a good and a bad CREATE are let in, and DDL results."""
+    key = "FOR (l:Lot) REQUIRE (l.part, l.no) IS NODE KEY"
+    cases = {
+        "node key": (key, "CREATE (:Lot {part: 1, no: -1})", "MATCH (l:Lot) WHERE l.part < 3 CREATE (:Lot {part: l.part, no: l.no})"),
+        "node key whole": (key, "CREATE (:Lot {part: 2, no: -1})", "CREATE (:Lot {part: 1})"),
+        "not null": ("FOR (l:Lot) REQUIRE l.part IS NOT NULL", "CREATE (:Lot {part: 3})", "CREATE (:Lot {no: 3})"),
+        "unique relationship": ("FOR ()-[u:USES]-() REQUIRE u.slip IS UNIQUE", "CREATE (:Lot {part: 1})-[:USES {slip: -1}]->(:Lot {part: 1})", "CREATE (:Lot {part: 1})-[:USES {slip: 1}]->(:Lot {part: 1})"),
+    }
+    found = []
+    for name, (rule, good, bad) in cases.items():
+        g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
+        g.cypher("MATCH (p:Part) CREATE (:Lot {part: p.p_partkey, no: p.p_size})-[:USES {slip: p.p_partkey}]->(p)")
+        said = [g.cypher(f"CREATE CONSTRAINT rule {rule}").first()[0]]
+        tried = []
+        for text in (good, bad):
+            try:
+                g.cypher(text)
+                tried.append(True)
+            except ConstraintError:
+                tried.append(False)
+        said.append(g.cypher("DROP CONSTRAINT rule").first()[0])
+        g.cypher(bad)
+        found.append((name, *tried, *said))
+    return spark.createDataFrame(found, "name string, good boolean, bad boolean, made string, gone string")
+
+
+def whole_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, relationships and paths as RETURN gives them, taken apart."""
+    g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
+    g.cypher("MATCH (n:Nation) CREATE p = (:Office {code: n.n_nationkey})-[:SERVES {since: 2000}]->(n)")
+    rows = g.cypher("MATCH p = (o:Office)-[s:SERVES]->(n:Nation) RETURN o, s, n, p, length(p) AS steps")
+    return rows.select(
+        F.col("o.props.code").alias("code"), F.array_join("o.labels", ":").alias("labels"), F.col("s.rtype").alias("kind"), F.col("s.props.since").alias("since"),
+        (F.col("s.start") == F.col("o.id")).alias("leaves"), (F.col("s.end") == F.col("n.id")).alias("arrives"), F.col("n.props.n_name").alias("nation"), F.col("steps"),
+    )
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph saved to a folder, opened again, and asked."""
+    from graphloom.sources.store import open_graph, save
+
+    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+    save(spark, registered(sales_graph, spark, sf_dir), path)
+    return GraphSession(spark, open_graph(spark, path)).cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS nation, r.r_name AS region")
+
+
+def streamed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of nodes, then matched."""
+    from graphloom.streaming.ingest import stream_nodes
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    folder = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+    events.write.parquet(f"{folder}/in")
+    g = GraphSession(spark)
+    query = stream_nodes(g, spark.readStream.schema(events.schema).parquet(f"{folder}/in"), ("Event",), f"{folder}/checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    return g.cypher("MATCH (e:Event) RETURN e.event_type AS t, count(*) AS n, count(DISTINCT id(e)) AS ids")
+
+
+def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one's own, used in a query."""
+    registry.scalar("twice")(lambda args, context: replace(args[0], column=args[0].column * 2))
+    return GraphSession(spark, registered(sales_graph, spark, sf_dir)).cypher("MATCH (r:Region) RETURN r.r_name AS name, twice(r.r_regionkey) AS k")
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logical steps of a query, one a row."""
+    g = GraphSession(spark, registered(sales_graph, spark, sf_dir))
+    text = g.explain("MATCH (c:Customer {c_custkey: 1})-[:PLACED]->(o:Order) RETURN o.o_orderkey")
+    return spark.createDataFrame([(k, x) for k, x in enumerate(text.split("\n\n")[0].splitlines())], "at bigint, step string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run, name) for name in CYPHER} | {
-    f.__name__: f for f in (create_then_match, constraint_keeps_keys, load_parquet)
+    f.__name__: f
+    for f in (
+        create_then_match, constraint_keeps_keys, load_parquet, load_csv, load_json, refusals, constraints, whole_entities, stored_graph, streamed_nodes, user_function, explained,
+    )
 }
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in CYPHER.items() if sql} | {
     "create_then_match": "SELECT CAST(n_nationkey AS BIGINT) AS code, CAST(2000 AS BIGINT) AS since, n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
     "constraint_keeps_keys": "SELECT count(*) AS n, true AS refused FROM orders",
+    "load_csv": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation",
+    "load_json": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS k, r_name AS name FROM region",
+    "refusals": "SELECT * FROM (VALUES ('no return items', 'SemanticError'), ('relationship twice', 'SemanticError'), ('aggregate of an aggregate', 'SemanticError'), ('unknown format', 'SemanticError'), ('unknown option', 'SemanticError'), ('late load', 'SemanticError'), ('endless walk', 'NotSupported'), ('unknown variable', 'SemanticError')) AS t(statement, error)",
+    "constraints": "SELECT name, true AS good, false AS bad, 'Constraint created' AS made, 'Constraint dropped' AS gone FROM (VALUES ('node key'), ('node key whole'), ('not null'), ('unique relationship')) AS t(name)",
+    "whole_entities": "SELECT CAST(n_nationkey AS BIGINT) AS code, 'Office' AS labels, 'SERVES' AS kind, CAST(2000 AS BIGINT) AS since, true AS leaves, true AS arrives, n_name AS nation, CAST(1 AS BIGINT) AS steps FROM nation",
+    "stored_graph": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "streamed_nodes": "SELECT event_type AS t, count(*) AS n, count(*) AS ids FROM events GROUP BY event_type",
+    "user_function": "SELECT r_name AS name, CAST(2 * r_regionkey AS BIGINT) AS k FROM region",
     "load_parquet": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
 }
