@@ -116,14 +116,15 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Returns scores and their probabilities; between them the function is interpolated. Each
     pooled block counts half a positive and half a negative more, so no block is certain.
     """
-    order = np.argsort(score, kind="stable")
+    levels, at = np.unique(score, return_inverse=True)  # equal scores are one value from the start
+    sums, rows = np.bincount(at, y, len(levels)), np.bincount(at, minlength=len(levels))
     blocks: list[list[float]] = []  # sum of y, rows, first score, last score
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
-            total, rows, _, end = blocks.pop()
+    for v, n, s in zip(sums.tolist(), rows.tolist(), levels.tolist(), strict=True):
+        blocks.append([v, n, s, s])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            total, many, _, end = blocks.pop()
             blocks[-1][0] += total
-            blocks[-1][1] += rows
+            blocks[-1][1] += many
             blocks[-1][3] = end
     at, probability = [], []
     for total, rows, first, end in blocks:
