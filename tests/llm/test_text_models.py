@@ -1,7 +1,9 @@
 """Toxicity, quality, token counts, piece encoding and the pipeline."""
 
 import functools
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -120,10 +122,10 @@ def test_unigram_models_take_the_best_path(model):
     unigram.kind = pieces.UNIGRAM
     transducer, trie = piece_fst.PieceTransducer(unigram), token_counts.CountingTrie(unigram)
     for text in ["theand", "hello", "einheit", "ab€𝄞c", "xyzzy", "the", "qqqq", "ñandú", "1234"]:
-        _, score = best(unigram, unigram.normalised(text))
+        _, score = best(unigram, transducer.normaliser(text))
         ids = transducer.encode(text)
         normal = [i for i in ids if unigram.kinds[i] == pieces.NORMAL]
-        unknown = sum(1 for c in unigram.normalised(text) if c not in unigram.scores)
+        unknown = sum(1 for c in transducer.normaliser(text) if c not in unigram.scores)
         assert np.isclose(sum(unigram.scores[unigram.pieces[i]] for i in normal) + unknown * unigram.unknown_score, score)
         assert trie.count(text)[0] == len(ids)
         assert unigram.decode(ids) == text
@@ -133,10 +135,49 @@ def test_counts_share_prefixes_and_survive_a_full_trie(model, monkeypatch):
     texts = strings(300)
     whole = token_counts.CountingTrie(model)
     want = [whole.count(t) for t in texts]
-    assert len(whole.score) < sum(len(p) for t in texts for p in model.pretokens(t))
+    assert len(whole.tokens) < sum(len(p) for t in texts for p in whole.machine.pretokens(t))
     monkeypatch.setattr(token_counts, "MOST_NODES", 200)
     small = token_counts.CountingTrie(model)
-    assert [small.count(t) for t in texts] == want and len(small.score) < 2000
+    assert [small.count(t) for t in texts] == want and len(small.tokens) < 2000
+
+
+def test_counts_are_the_librarys(model, library, tables):
+    trie = token_counts.CountingTrie(model)
+    texts = strings(300) + [r.text for r in tables[0].collect()]
+    assert [trie.count(t)[0] for t in texts] == [len(ids) for ids in library.encode(texts)]
+
+
+def unigram_file() -> bytes:
+    """The model file as a unigram model, its scores the logarithms of falling shares by rank."""
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    out, rank = b"", 0
+    parts = []
+    for number, value in pieces._fields(pieces.read_model()):
+        if number == 1:
+            fields = dict(pieces._fields(value))
+            if fields.get(3, pieces.NORMAL) == pieces.NORMAL:
+                rank += 1
+                new = b"\x15" + struct.pack("<f", -math.log(rank + 2.7))
+                value = value.replace(b"\x15" + fields[2], new, 1) if 2 in fields else value + new
+        elif number == 2:
+            value = value.replace(b"\x18\x02", b"\x18\x01", 1)
+        parts.append(bytes([number << 3 | 2]) + varint(len(value)) + value)
+    return out.join(parts)
+
+
+def test_unigram_encoding_and_counts_are_the_librarys(tables):
+    """But for ways of equal score, where the library's single precision decides."""
+    file = unigram_file()
+    unigram, library = pieces.PieceModel(file), sentencepiece.SentencePieceProcessor(model_proto=file)
+    transducer, trie = piece_fst.PieceTransducer(unigram), token_counts.CountingTrie(unigram)
+    texts = strings(100) + [r.text for r in tables[0].limit(300).collect()]
+    got, want = [transducer.encode(t) for t in texts], library.encode(texts)
+    score = lambda ids: sum(unigram.scores.get(unigram.pieces[i], 0.0) for i in ids)
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) > 0.95
+    assert all(a == b or score(a) >= score(b) - 1e-6 for a, b in zip(got, want, strict=True))
+    assert [trie.count(t)[0] for t in texts] == [len(ids) for ids in got]
 
 
 def test_piece_queries_on_odd_tables(spark, model):
