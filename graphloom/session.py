@@ -32,7 +32,9 @@ class GraphSession:
         self.semantics, self.rel_uniqueness = semantics, rel_uniqueness
 
     def cypher(self, text: str, params: dict | None = None) -> DataFrame:
-        """The statement's rows. Reads are lazy; a CREATE takes place before this returns."""
+        """The statement's rows. A CREATE takes place before this returns. Reads are lazy, but for long
+        variable lengths, shortest paths and ids of relationships without a key, which are stored while
+        the query is planned."""
         statement = parse(text)
         if isinstance(statement, a.CreateConstraint):
             self.graph = mutate.create_constraint(self.graph, statement)
@@ -45,7 +47,8 @@ class GraphSession:
         return df
 
     def explain(self, text: str, params: dict | None = None) -> str:
-        """The logical steps of a query, one a line, and Spark's plan. Nothing is created."""
+        """The logical steps of a query, one a line, and Spark's plan. Nothing is created; what a read
+        stores while it is planned (see cypher()) is stored here too."""
         statement = parse(text)
         if not isinstance(statement, a.Query) or any(isinstance(c, a.Create) for p in statement.parts for c in p.clauses):
             raise NotSupported("only queries that read are explained")
