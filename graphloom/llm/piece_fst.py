@@ -15,8 +15,8 @@ from graphloom.llm.common import arrow_rows
 from graphloom.llm.pieces import BPE, END, MODEL_PATH, SPACE, PieceModel, model_of, read_model
 
 #: Pre-tokens and pairs of pieces, and states, of which a worker keeps the result.
-MOST_KEPT = 400_000
-MOST_STATES = 500_000
+MOST_KEPT = 150_000
+MOST_STATES = 200_000
 
 
 class Normaliser:

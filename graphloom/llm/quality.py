@@ -50,7 +50,7 @@ def _hashed(word: str) -> int:
     """A word's feature; the words seen are kept, up to a bound."""
     at = _hashes.get(word)
     if at is None:
-        if len(_hashes) >= 1 << 19:
+        if len(_hashes) >= 1 << 17:
             _hashes.clear()
         at = _hashes[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED
     return at

@@ -13,8 +13,8 @@ from graphloom.llm.piece_fst import PieceTransducer
 from graphloom.llm.pieces import MODEL_PATH, PieceModel, model_of, read_model
 
 #: Nodes of a worker's trie, and pre-tokens with a count; a fuller one is begun anew, which changes no count.
-MOST_NODES = 500_000
-MOST_TERMINALS = 1_000_000
+MOST_NODES = 250_000
+MOST_TERMINALS = 250_000
 
 
 class CountingTrie:
