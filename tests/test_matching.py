@@ -269,3 +269,23 @@ def test_parse_errors(spark, text):
 def test_explain_shows_steps_and_spark_plan(g):
     text = g.explain("MATCH (h:Hub)-[w:RAIL]->(t) RETURN h.code")
     assert "-[w:RAIL]-> t ['RAIL']" in text and "Physical Plan" in text
+
+
+def test_shortest_paths_in_a_dense_graph(spark):
+    """Twenty ways from each stop: trails of six steps are 64 millions from one stop, nodes are 300."""
+    import random
+
+    from graphloom.sources.graph import PropertyGraph
+
+    rng, n = random.Random(9), 300
+    ways = [(k * 20 + j, k, rng.randrange(n)) for k in range(n) for j in range(20)]
+    graph = PropertyGraph().add_nodes("Stop", spark.createDataFrame([(k,) for k in range(n)], "k bigint"), "k")
+    graph.add_rels("WAY", spark.createDataFrame(ways, "no bigint, a bigint, b bigint"), ("Stop", "a"), ("Stop", "b"), "no", [])
+    g = GraphSession(spark, graph)
+    far, front, length = {}, {0}, 0
+    while front:
+        length += 1
+        front = {b for _, a, b in ways if a in front and b not in far}
+        far |= dict.fromkeys(front, length)
+    assert run(g, "MATCH p = ANY SHORTEST PATHS (a:Stop {k: 0})-[:WAY*1..6]->(b) RETURN b.k, length(p)") == lines(far.items())
+    assert run(g, "MATCH (a:Stop {k: 0}), (b:Stop {k: 7}) MATCH p = ALL SHORTEST PATHS (a)-[:WAY*]->(b) RETURN DISTINCT length(p)") == [str(far[7])]

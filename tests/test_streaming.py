@@ -32,3 +32,16 @@ def test_a_batch_against_a_constraint_stops_the_stream(spark, tmp_path):
     with pytest.raises(Exception, match="constraint violation"):
         query.processAllAvailable()
     assert rows_of(g.cypher("MATCH (e) RETURN count(*)")) == ["0"]
+
+
+def test_a_restarted_stream_has_its_nodes_again(spark, tmp_path):
+    source, rows = str(tmp_path / "in"), spark.range(30).select(F.col("id").alias("key"))
+    for part in ("key < 10", "key >= 10"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(source)
+        g = GraphSession(spark)
+        g.cypher("CREATE CONSTRAINT one FOR (e:Event) REQUIRE e.key IS UNIQUE")
+        query = stream_nodes(g, spark.readStream.schema("key bigint").parquet(source), ("Event",), str(tmp_path / "checkpoint"))
+        query.processAllAvailable()
+        query.stop()
+    g.cypher("CREATE (:Event {key: 99})")
+    assert rows_of(g.cypher("MATCH (e:Event) RETURN count(*), count(DISTINCT id(e)), sum(e.key)")) == [f"31\t31\t{sum(range(30)) + 99}"]
