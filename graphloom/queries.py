@@ -306,6 +306,7 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in CYPHER.items()
     "whole_entities": "SELECT CAST(n_nationkey AS BIGINT) AS code, 'Office' AS labels, 'SERVES' AS kind, CAST(2000 AS BIGINT) AS since, true AS leaves, true AS arrives, n_name AS nation, CAST(1 AS BIGINT) AS steps FROM nation",
     "stored_graph": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
     "streamed_nodes": "SELECT event_type AS t, count(*) AS n, count(*) AS ids FROM events GROUP BY event_type",
+    "explained": "SELECT CAST(at AS BIGINT) AS at, step FROM (VALUES (0, 'Scan c [''Customer:Party'']'), (1, 'Filter (c.c_custkey) = (1)'), (2, 'ExpandAll c -[:PLACED]-> o [''PLACED'']'), (3, 'ProduceResult')) AS t(at, step)",
     "user_function": "SELECT r_name AS name, CAST(2 * r_regionkey AS BIGINT) AS k FROM region",
     "load_parquet": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
 }
