@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame
 from graphloom.llm.common import arrow_rows
 from graphloom.llm.pieces import BPE, END, MODEL_PATH, SPACE, PieceModel, model_of, read_model
 
-#: Pre-tokens and pairs of pieces, and states, of which a worker keeps the result.
-MOST_KEPT = 150_000
-MOST_STATES = 200_000
+#: Pre-tokens, pairs of pieces and states, of each of which a worker keeps so many at most.
+MOST_KEPT = 400_000
 
 
 class Normaliser:
@@ -92,8 +91,8 @@ class PieceTransducer:
     infinite weight); one path is left, and its weight is the sum of its pieces' as ever.
     """
 
-    def __init__(self, model: PieceModel):
-        self.model = model
+    def __init__(self, model: PieceModel, most_kept: int = MOST_KEPT):
+        self.model, self.most_kept = model, most_kept
         self.normaliser, self.pieces = Normaliser(model), Pieces(model)
         self.merges = model.kind == BPE
         self.kept: dict[str, tuple[int, ...]] = {}
@@ -115,7 +114,7 @@ class PieceTransducer:
         for pretoken in self.pretokens(text):
             ids = kept.get(pretoken)
             if ids is None:
-                if len(kept) >= MOST_KEPT:
+                if len(kept) >= self.most_kept:
                     kept.clear()
                 ids = kept[pretoken] = tuple(self._path(pretoken))
             out.extend(ids)
@@ -129,7 +128,7 @@ class PieceTransducer:
     def _path(self, text: str) -> list[int]:
         if self.shared_ranks(text):
             return self._numbers(self._merged_by_heap(text))
-        if len(self.weight) > MOST_STATES:
+        if len(self.weight) > self.most_kept:
             self._clear()
         state = self.states(text)[-1]
         pieces = []
@@ -178,7 +177,7 @@ class PieceTransducer:
     def _stay_apart(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= MOST_KEPT:
+            if len(self.pairs) >= self.most_kept:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._no_merge_between(left, right)
         return known
@@ -271,17 +270,17 @@ class PieceTransducer:
 
 
 @lru_cache(maxsize=1)
-def transducer_of(data: bytes) -> PieceTransducer:
+def transducer_of(data: bytes, most_kept: int = MOST_KEPT) -> PieceTransducer:
     """A worker process's transducer; what it keeps lasts over tasks."""
-    return PieceTransducer(model_of(data))
+    return PieceTransducer(model_of(data), most_kept)
 
 
 class _Encode:
-    def __init__(self, data: bytes):
-        self.data = data
+    def __init__(self, data: bytes, most_kept: int):
+        self.data, self.most_kept = data, most_kept
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = transducer_of(self.data)
+        transducer = transducer_of(self.data, self.most_kept)
         model = transducer.model
         for batch in batches:
             ids, offsets, same = array("i"), [0], []
@@ -297,17 +296,18 @@ class _Encode:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece_ids", "n_pieces", "restored"])
 
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, most_kept: int = MOST_KEPT) -> DataFrame:
     """(doc_id, piece_ids, n_pieces, restored) for every row of docs (doc_id, text).
 
     piece_ids is the encoding of the whole text by the model file, without control pieces; restored
     tells whether decoding them gives the normalised text again. Null and empty texts have no
     pieces and are restored. Visible-space characters of a text decode as spaces. Repeated rows and
-    null ids stay. Other columns are not read. An empty table gives an empty one.
+    null ids stay. Other columns are not read. An empty table gives an empty one. most_kept bounds what
+    a worker remembers of earlier texts, which changes its time and memory, never a result.
     """
     arrow_rows(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_Encode(read_model(model_path)), f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, restored boolean")
+    return docs.select("doc_id", "text").mapInArrow(_Encode(read_model(model_path), most_kept), f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, restored boolean")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
