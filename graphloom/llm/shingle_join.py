@@ -1,9 +1,10 @@
-"""Exact near-duplicates by shingle sets: prefix filter, bounds in buckets, overlap of every candidate."""
+"""Exact similarity of shingle sets: overlap of every candidate, and a prefix filter with bounds in buckets for
+the pairs that SimHash (simhash.py) has not joined."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +78,15 @@ class _Sets:
 
 
 class _Prints:
-    """(doc_id, mark, rid, n, sketch, prefix, rare) of texts (doc_id, mark, text).
+    """(doc_id, mark, rid, n, lanes, sketch, prefix, rare) of texts (doc_id, mark, text).
 
-    rid is a hash of the set, n its size. The prefix is the part of the set that any similar set
+    rid is a hash of the set, n its size, lanes what `fingerprint` makes of it. The prefix is the part of the set that any similar set
     must meet with its own: the first n - ceil(0.8 n) + 1 shingles in an order that all sets share,
     by hash, with the common ones (given by rising frequency) last; `rare` of it are not common.
     """
 
-    def __init__(self, common: np.ndarray):
+    def __init__(self, common: np.ndarray, fingerprint: Callable[[np.ndarray], np.ndarray]):
+        self.fingerprint = fingerprint
         self.sorted = np.sort(common)
         self.rank = np.argsort(common)
 
@@ -112,14 +114,20 @@ class _Prints:
             sketches = [self.sketch(s) for s in sets]
             prefixes = [self.prefix(s) for s in sets]
             sizes = [pa.array(x, pa.int32()) for x in ([len(s) for s in sets], [rare for _, rare in prefixes])]
-            made = [batch.column("doc_id"), batch.column("mark"), pa.array(rid), sizes[0], _list(sketches), _list([p for p, _ in prefixes]), sizes[1]]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "mark", "rid", "n", "sketch", "prefix", "rare"])
+            lanes = _list([self.fingerprint(s) for s in sets])
+            made = [batch.column("doc_id"), batch.column("mark"), pa.array(rid), sizes[0], lanes, _list(sketches), _list([p for p, _ in prefixes]), sizes[1]]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "mark", "rid", "n", "lanes", "sketch", "prefix", "rare"])
+
+
+def fitting(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be similar."""
+    return UNDER * np.minimum(na, nb) >= OVER * np.maximum(na, nb)
 
 
 def _fits(na: np.ndarray, nb: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes that share a shingle at these places may be similar."""
     most = np.minimum(at_a, at_b) + np.minimum(na - at_a, nb - at_b)
-    return (UNDER * np.minimum(na, nb) >= OVER * np.maximum(na, nb)) & ((OVER + UNDER) * most >= OVER * (na + nb))
+    return fitting(na, nb) & ((OVER + UNDER) * most >= OVER * (na + nb))
 
 
 class _Pairs:
@@ -244,55 +252,72 @@ class _Sketches:
 _PAIR = "a bigint, b bigint"
 
 
-def set_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, rid, n, sketch, prefix, rare) for every row of docs (doc_id, mark, text), as a table."""
+def set_prints(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, mark, rid, n, lanes, sketch, prefix, rare) for every row of docs (doc_id, mark, text), as a table."""
     part = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod(F.col("mark"), F.lit(part)) == 0).dropDuplicates(["mark"]).select("mark", "text")
     each = sample.mapInArrow(_Sets(), "mark bigint, shingles array<bigint>").select(F.explode("shingles").alias("s"))
     common = each.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON)
     known = np.array([r.s for r in common.collect()][::-1], np.int64).view(np.uint64)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, mark bigint, rid bigint, n int, sketch array<bigint>, prefix array<bigint>, rare int"
-    return materialize(docs.select("doc_id", "mark", "text").mapInArrow(_Prints(known), schema))
+    schema = f"doc_id {kind}, mark bigint, rid bigint, n int, lanes array<bigint>, sketch array<bigint>, prefix array<bigint>, rare int"
+    return materialize(docs.select("doc_id", "mark", "text").mapInArrow(_Prints(known, fingerprint), schema))
+
+
+def distinct_sets(prints: DataFrame) -> DataFrame:
+    """One row (rid, mark, n, lanes, sketch, prefix, rare) for each set of prints, as a table."""
+    return materialize(prints.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("mark", "n", "lanes", "sketch", "prefix", "rare")]))
+
+
+def dealt_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b) of the sets that share a key, of rows (key, rid, place), as a table; place is n << 32 and the
+    place of the key. Only sizes and places are looked at, pairs may repeat, and the rows of keys of
+    more than SMALL sets come as they are, with no a and b."""
+    dealt = keys.repartition("key").sortWithinPartitions("key")
+    return materialize(dealt.mapInArrow(_Pairs(), f"{_PAIR}, key bigint, rid bigint, place bigint"))
 
 
-def similar_sets(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) for the sets of prints that have a partner of similarity 0.8 or more.
+def similar_sets(distinct: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) for the distinct sets that have a partner of similarity 0.8 or more.
 
-    No pair is lost and none is linked in error, but for equal 64-bit hashes of different shingles.
+    links (a, b) are verified already; pairs that these join are not tried again. Of the others no pair
+    is lost and none is linked in error, but for equal 64-bit hashes of different shingles.
     docs (mark, text) are read again for the sets of the candidates. Keys that are rare in the sample
     are dealt out by key, with nothing but a set's number, size and place; common ones, and the rare
     ones that turn out to be shared by many, are compared as buckets of map_buckets().
     """
-    distinct = materialize(prints.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("mark", "n", "sketch", "prefix", "rare")]))
+    roots = materialize(connected_components(links))
     place = (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at")).alias("place")
     keys = distinct.select("rid", "n", "rare", F.posexplode("prefix").alias("at", "key")).select("key", "rid", place, (F.col("at") < F.col("rare")).alias("few"))
-    dealt = keys.where("few").drop("few").repartition("key").sortWithinPartitions("key")
-    found = materialize(dealt.mapInArrow(_Pairs(), f"{_PAIR}, key bigint, rid bigint, place bigint"))
-    pairs = found.where("a is not null").select("a", "b")
+    found = dealt_pairs(keys.where("few").drop("few"))
+    pairs = _apart(found.where("a is not null").select("a", "b").distinct(), roots)
     crowded = found.where("a is null").select("key", "rid", "place").unionAll(keys.where("not few").drop("few"))
     size, at = (F.shiftright("place", 32)).cast("int").alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
     many = materialize(crowded.join(distinct.select("rid", "sketch"), "rid").select("key", "rid", size, at, "sketch"))
     full = not many.isEmpty()
-    if full:
-        pairs = pairs.unionAll(map_buckets(many, _Candidates("hubs"), _PAIR))
-    links = materialize(_verified(pairs, distinct, docs))
-    discard(found)
-    roots = materialize(connected_components(links))
-    if full:
-        # What hubs have not joined is tried with its nearest partners, then whatever is still apart
-        # with every one: few pairs are left for that, however large a group of copies is.
-        for mode in ("nearest", "all"):
+    # What is still apart in crowded buckets is joined to hubs, then tried with its nearest partners,
+    # then with every one: few pairs are left for that, however large a group of copies is.
+    for mode in ("hubs", "nearest", "all") if full else ("",):
+        if mode:
             named = many.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-            more = materialize(_verified(map_buckets(named, _Candidates(mode), _PAIR), distinct, docs))
-            if not more.isEmpty():
-                links = links.unionAll(more)
-                roots = materialize(connected_components(links))
-    for table in (many, distinct):
+            met = map_buckets(named, _Candidates(mode), _PAIR)
+            pairs = pairs.unionAll(met) if mode == "hubs" else met
+        more = materialize(verified(pairs, distinct, docs))
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            roots = materialize(connected_components(links))
+    for table in (found, many):
         discard(table)
     return roots
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that links have not joined."""
+    for side in "ab":
+        pairs = pairs.join(bounded(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _near_sketches(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """The pairs whose sketches differ in no more bits than similar sets can.
 
@@ -308,7 +333,7 @@ def _near_sketches(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.where((OVER + UNDER) * far <= (2 * UNDER - OVER - UNDER) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of sets whose exact similarity is 0.8 or more."""
     pairs = materialize(_near_sketches(pairs.distinct(), distinct))
     if pairs.isEmpty():

@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
 from graphloom.llm.common import WORD, arrow_rows, discard, materialize, sheltered
 from graphloom.llm.components import connected_components
-from graphloom.llm.shingle_join import set_prints, similar_sets
+from graphloom.llm.shingle_join import OVER, dealt_pairs, distinct_sets, fitting, set_prints, similar_sets, verified
 
 _WORD = re.compile(WORD)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -61,8 +62,13 @@ def sampled_blocks(bits: int, tables: int, width: int, seed: int = 5) -> tuple[t
 THREE_WORDS = SimHash(3, 1, True, 2, pigeonhole(64, 4, 2))
 #: An estimate for five-word shingle sets of Jaccard similarity 0.8 or more: their cosine is
 #: 2J / (1 + J) = 0.889, an angle of 27.3 degrees, or 77.7 of 512 bits. It loses pairs near 0.8 and
-#: all but guesses at few shingles; keep_one_each, which must do neither, compares the sets.
+#: all but guesses at few shingles; keep_one_each, which must do neither, lets more bits differ, compares
+#: the sets of what it finds and looks for the rest by shingles.
 FIVE_WORDS = SimHash(5, 8, False, 84, sampled_blocks(512, 64, 20))
+#: Differing bits up to which keep_one_each compares sets: 77.7 and four standard deviations of 8.1.
+COMPARED_BITS = 110
+#: Of every 2 ** SPARE keys of one of its tables, about one is taken, so that chance pairs are few.
+SPARE = 4
 
 
 def fingerprint(text: str | None, config: SimHash) -> np.ndarray:
@@ -77,22 +83,26 @@ def fingerprint(text: str | None, config: SimHash) -> np.ndarray:
     if not config.repeats:
         shingles = set(shingles)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
-    counts = np.zeros(64 * config.lanes, np.int64)
+    return majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64), config.lanes)
+
+
+def majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The 64-bit lanes whose bits are set in over half of the shingles' hashes; no shingles give zeros."""
+    counts = np.zeros(64 * lanes, np.int64)
     for start in range(0, len(hashes), 255):  # so many sums of one bit fit a byte
-        part = hashes[start : start + 255]
-        lanes = np.stack([part if k == 0 else _mixed(part, k) for k in range(config.lanes)], 1)
-        counts += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(len(part), -1), 1, bitorder="little").sum(0, dtype=np.uint8)
+        part = _mixed(hashes[start : start + 255], lanes)
+        counts += np.unpackbits(part.view(np.uint8), 1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
-def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Another hash of the same shingles, from the first one."""
+def _mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The hashes and, in further columns, other hashes of the same shingles, made from them."""
+    first = hashes[:, None]
     with np.errstate(over="ignore"):
-        x = hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+        x = first + np.arange(1, lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+    return np.ascontiguousarray(np.concatenate([first, x ^ (x >> np.uint64(31))], 1), "<u8")
 
 
 def fingerprint_column(text: Column, config: SimHash) -> Column:
@@ -129,6 +139,44 @@ def _lanes(column: pa.Array, width: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, width)
 
 
+class _SetKeys:
+    """Rows (key, rid, place) of sets (rid, n, lanes), one for each table; place is n, at the place 0."""
+
+    def __init__(self, config: SimHash):
+        self.keys = _Keys(config)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pa.array(batch.column("n").to_numpy().astype(np.int64) << 32)
+            for made in self.keys(iter([batch])):
+                yield pa.RecordBatch.from_arrays([made.column("key"), made.column("rid"), place], ["key", "rid", "place"])
+
+
+class _Hubs:
+    """Pairs (a, b), a < b, of one bucket's rows (rid, n, lanes): each row with the first one that is near.
+
+    Near are fingerprints of at most max_bits differing bits whose sets' sizes allow a similarity of
+    0.8. So a bucket gives fewer pairs than rows, however many copies it holds.
+    """
+
+    def __init__(self, config: SimHash):
+        self.config = config
+
+    def __call__(self, rows: pa.Table) -> pa.Table | None:
+        order = np.argsort(rows.column("rid").to_numpy())
+        rid, n = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("rid", "n"))
+        lanes = _lanes(rows.column("lanes"), self.config.lanes)[order]
+        rest, a, b = np.arange(len(rid)), [], []
+        while len(rest) > 1:
+            i, rest = rest[0], rest[1:]
+            near = fitting(n[rest], n[i])
+            near[near] = np.bitwise_count(lanes[rest[near]] ^ lanes[i]).sum(1, dtype=np.int64) <= self.config.max_bits
+            a.append(np.full(near.sum(), rid[i]))
+            b.append(rid[rest[near]])
+            rest = rest[~near]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else None
+
+
 class _Near:
     """Links of one bucket: every connected part of it as links to its least rid.
 
@@ -195,24 +243,53 @@ def simhash_groups(docs: DataFrame, config: SimHash = THREE_WORDS) -> DataFrame:
     return prints.join(named, "lanes").select("doc_id", "lanes", "component_id")
 
 
+def near_sets(sets: DataFrame, config: SimHash) -> DataFrame:
+    """Pairs (a, b) of distinct sets (rid, n, lanes) whose fingerprints share a table's key and differ in
+    at most max_bits bits, as a table; of a key of many sets, pairs with hubs instead of all.
+
+    Sets of fewer than four shingles are left out, since none is similar to a different one.
+    """
+    lane = [F.col("lanes")[k] for k in range(config.lanes)]
+    known = sets.where(F.col("n") >= OVER).select("rid", "n", "lanes")
+    keys = known.mapInArrow(_SetKeys(config), "key bigint, rid bigint, place bigint")
+    met = dealt_pairs(keys)
+    pairs = met.where("a is not null").select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("rid").alias(side), *[x.alias(f"{side}{k}") for k, x in enumerate(lane)]), side)
+    far = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(config.lanes))
+    many = materialize(met.where("a is null").select("key", "rid").join(known, "rid").select("key", "rid", "n", "lanes"))
+    hubs = map_buckets(many, _Hubs(config), "a bigint, b bigint", config.block_rows)
+    near = materialize(pairs.where(far <= config.max_bits).select("a", "b").unionAll(hubs))
+    for table in (met, many):
+        discard(table)
+    return near
+
+
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one of the least doc_id.
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more, found exactly (shingle_join.py), and what such links lead to. Texts without words are
-    alike. All columns of docs are returned as they are. Null ids come after all others; among rows
+    more, and what such links lead to. SimHash finds them: tables of the sets' fingerprints, differing
+    bits, then the sets of each pair compared. Since bits bound no similarity, the pairs that this may
+    have missed are looked for between what is still apart, by shingles (shingle_join.py), so that
+    none is lost and none linked in error. Texts without words are alike. All columns of docs are returned as they are. Null ids come after all others; among rows
     of the same id the least hash of the text wins, and of equal rows one stays.
     """
     arrow_rows(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    prints = set_prints(texts)
+    prints = set_prints(texts, partial(majority, lanes=FIVE_WORDS.lanes))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
     first = prints.groupBy("rid").agg(F.min(order).alias("first"))
-    roots = similar_sets(prints, texts).withColumnRenamed("node", "rid")
+    sets = distinct_sets(prints)
+    width = max(16, sets.count().bit_length() + SPARE)
+    config = replace(FIVE_WORDS, max_bits=COMPARED_BITS, tables=sampled_blocks(64 * FIVE_WORDS.lanes, len(FIVE_WORDS.tables), width))
+    links = materialize(verified(near_sets(sets, config), sets, texts))
+    roots = similar_sets(sets, texts, links).withColumnRenamed("node", "rid")
     rooted = first.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.i").alias("id"), F.col("first.m").alias("mark")).distinct())
-    discard(prints)
+    for table in (prints, sets):
+        discard(table)
     rows, restored = sheltered(docs)
     marked = rows.withColumn("_mark", F.xxhash64("_text"))
     found = marked.join(kept, F.col("_doc_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left_semi")
