@@ -131,9 +131,12 @@ def _fits(na: np.ndarray, nb: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) ->
 
 
 class _Pairs:
-    """Of rows (key, rid, place) sorted by key: the pairs (a, b) of keys of up to SMALL rows that
+    """Of rows (key, rid, place) sorted by key: the pairs (a, b) of keys of up to `small` rows that
     sizes and places allow; rows of larger keys are passed on. A run of one key is held over
-    batches only up to SMALL rows."""
+    batches only up to `small` rows."""
+
+    def __init__(self, small: int):
+        self.small = small
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, crowded = np.zeros((3, 0), np.int64), []
@@ -143,7 +146,7 @@ class _Pairs:
             rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "rid", "place")])], 1)
             end = rows[0, -1]
             last = np.searchsorted(rows[0], end)
-            if end in crowded or rows.shape[1] - last > SMALL:  # the rows of a crowded key need not wait
+            if end in crowded or rows.shape[1] - last > self.small:  # the rows of a crowded key need not wait
                 crowded, last = [*crowded, end], rows.shape[1]
             held = rows[:, last:]
             yield self._found(rows[:, :last], crowded)
@@ -154,12 +157,12 @@ class _Pairs:
         key, rid, place = rows
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         length = np.diff(np.append(starts, len(key)))
-        many = np.repeat((length > SMALL) | np.isin(key[starts], crowded), length)
+        many = np.repeat((length > self.small) | np.isin(key[starts], crowded), length)
         several = np.repeat(length > 1, length) & ~many
         more = [x[many] for x in (key, rid, place)]
         key, rid, n, at = key[several], rid[several], place[several] >> 32, place[several] & 0xFFFFFFFF
         a, b = [], []
-        for gap in range(1, SMALL):
+        for gap in range(1, self.small):
             i = np.flatnonzero(key[gap:] == key[:-gap])
             if not len(i):
                 break
@@ -269,12 +272,12 @@ def distinct_sets(prints: DataFrame) -> DataFrame:
     return materialize(prints.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("mark", "n", "lanes", "sketch", "prefix", "rare")]))
 
 
-def dealt_pairs(keys: DataFrame) -> DataFrame:
+def dealt_pairs(keys: DataFrame, small: int | None = None) -> DataFrame:
     """(a, b) of the sets that share a key, of rows (key, rid, place), as a table; place is n << 32 and the
     place of the key. Only sizes and places are looked at, pairs may repeat, and the rows of keys of
-    more than SMALL sets come as they are, with no a and b."""
+    more than `small` sets (SMALL unless given) come as they are, with no a and b."""
     dealt = keys.repartition("key").sortWithinPartitions("key")
-    return materialize(dealt.mapInArrow(_Pairs(), f"{_PAIR}, key bigint, rid bigint, place bigint"))
+    return materialize(dealt.mapInArrow(_Pairs(small or SMALL), f"{_PAIR}, key bigint, rid bigint, place bigint"))
 
 
 def similar_sets(distinct: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -290,7 +293,7 @@ def similar_sets(distinct: DataFrame, docs: DataFrame, links: DataFrame) -> Data
     place = (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at")).alias("place")
     keys = distinct.select("rid", "n", "rare", F.posexplode("prefix").alias("at", "key")).select("key", "rid", place, (F.col("at") < F.col("rare")).alias("few"))
     found = dealt_pairs(keys.where("few").drop("few"))
-    pairs = _apart(found.where("a is not null").select("a", "b").distinct(), roots)
+    pairs = apart(found.where("a is not null").select("a", "b").distinct(), roots)
     crowded = found.where("a is null").select("key", "rid", "place").unionAll(keys.where("not few").drop("few"))
     size, at = (F.shiftright("place", 32)).cast("int").alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
     many = materialize(crowded.join(distinct.select("rid", "sketch"), "rid").select("key", "rid", size, at, "sketch"))
@@ -304,14 +307,14 @@ def similar_sets(distinct: DataFrame, docs: DataFrame, links: DataFrame) -> Data
             pairs = pairs.unionAll(met) if mode == "hubs" else met
         more = materialize(verified(pairs, distinct, docs))
         if not more.isEmpty():
-            links = links.unionAll(more)
-            roots = materialize(connected_components(links))
+            joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as good as the links so far
+            roots = materialize(connected_components(joined.unionAll(more)))
     for table in (found, many):
         discard(table)
     return roots
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs that links have not joined."""
     for side in "ab":
         pairs = pairs.join(bounded(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))), side, "left")

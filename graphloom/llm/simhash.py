@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.buckets import BLOCK_ROWS, map_buckets
 from graphloom.llm.common import WORD, arrow_rows, discard, materialize, sheltered
 from graphloom.llm.components import connected_components
-from graphloom.llm.shingle_join import OVER, dealt_pairs, distinct_sets, fitting, set_prints, similar_sets, verified
+from graphloom.llm.shingle_join import OVER, apart, dealt_pairs, distinct_sets, fitting, set_prints, similar_sets, verified
 
 _WORD = re.compile(WORD)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -153,10 +153,11 @@ class _SetKeys:
 
 
 class _Hubs:
-    """Pairs (a, b), a < b, of one bucket's rows (rid, n, lanes): each row with the first one that is near.
+    """Pairs (a, b, far), a < b, of one bucket's rows (rid, n, lanes): each row with the first one that is near.
 
-    Near are fingerprints of at most max_bits differing bits whose sets' sizes allow a similarity of
-    0.8. So a bucket gives fewer pairs than rows, however many copies it holds.
+    Near are fingerprints of at most max_bits differing bits (far) whose sets' sizes allow a similarity of
+    0.8. So a bucket gives fewer pairs than rows, however many copies it holds. Where two blocks of a
+    bucket meet, only the first rows of either are compared: the others have theirs in their own block.
     """
 
     def __init__(self, config: SimHash):
@@ -166,15 +167,22 @@ class _Hubs:
         order = np.argsort(rows.column("rid").to_numpy())
         rid, n = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("rid", "n"))
         lanes = _lanes(rows.column("lanes"), self.config.lanes)[order]
-        rest, a, b = np.arange(len(rid)), [], []
-        while len(rest) > 1:
+        which = np.arange(len(rid))
+        if not rows.column("lone")[0].as_py():
+            side = rows.column("side").to_numpy()[order]
+            which = np.sort([i for s in np.unique(side) for i, *_ in self._stars(which[side == s], n, lanes)])
+        made = [(np.full(len(near), rid[i]), rid[near], far) for i, near, far in self._stars(which, n, lanes) if len(near)]
+        return pa.table(dict(zip(("a", "b", "far"), map(np.concatenate, zip(*made, strict=True)), strict=True))) if made else None
+
+    def _stars(self, rest: np.ndarray, n: np.ndarray, lanes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The first of the rows that are left, those near it and by how many bits, until none is left."""
+        while len(rest):
             i, rest = rest[0], rest[1:]
             near = fitting(n[rest], n[i])
-            near[near] = np.bitwise_count(lanes[rest[near]] ^ lanes[i]).sum(1, dtype=np.int64) <= self.config.max_bits
-            a.append(np.full(near.sum(), rid[i]))
-            b.append(rid[rest[near]])
+            far = np.bitwise_count(lanes[rest[near]] ^ lanes[i]).sum(1, dtype=np.int64)
+            near[near] = far <= self.config.max_bits
+            yield i, rest[near], far[far <= self.config.max_bits]
             rest = rest[~near]
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else None
 
 
 class _Near:
@@ -244,27 +252,40 @@ def simhash_groups(docs: DataFrame, config: SimHash = THREE_WORDS) -> DataFrame:
 
 
 def near_sets(sets: DataFrame, config: SimHash) -> DataFrame:
-    """Pairs (a, b) of distinct sets (rid, n, lanes) whose fingerprints share a table's key and differ in
-    at most max_bits bits, as a table; of a key of many sets, pairs with hubs instead of all.
+    """Pairs (a, b, far) of distinct sets (rid, n, lanes) whose fingerprints share a table's key and differ in
+    far bits, at most max_bits, as a table; of a key of more than two sets, pairs with hubs instead of all, so
+    that a key gives fewer pairs than it has sets. Pairs may repeat.
 
     Sets of fewer than four shingles are left out, since none is similar to a different one.
     """
     lane = [F.col("lanes")[k] for k in range(config.lanes)]
     known = sets.where(F.col("n") >= OVER).select("rid", "n", "lanes")
     keys = known.mapInArrow(_SetKeys(config), "key bigint, rid bigint, place bigint")
-    met = dealt_pairs(keys)
+    met = dealt_pairs(keys, 2)
     pairs = met.where("a is not null").select("a", "b").distinct()
     for side in "ab":
         pairs = pairs.join(known.select(F.col("rid").alias(side), *[x.alias(f"{side}{k}") for k, x in enumerate(lane)]), side)
-    far = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(config.lanes))
+    far = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(config.lanes)).cast("bigint")
     many = materialize(met.where("a is null").select("key", "rid").join(known, "rid").select("key", "rid", "n", "lanes"))
-    hubs = map_buckets(many, _Hubs(config), "a bigint, b bigint", config.block_rows)
-    near = materialize(pairs.where(far <= config.max_bits).select("a", "b").unionAll(hubs))
+    hubs = map_buckets(many, _Hubs(config), "a bigint, b bigint, far bigint", config.block_rows)
+    near = materialize(pairs.select("a", "b", far.alias("far")).where(F.col("far") <= config.max_bits).unionAll(hubs))
     for table in (met, many):
         discard(table)
     return near
 
 
+def linked_sets(near: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all sets that similar pairs of near (a, b, far) join; more are left out.
+
+    Each set is tried with the nearest of the lesser sets that it has, so with one however many there are;
+    then what these links have left apart is tried with all.
+    """
+    nearest = near.groupBy("b").agg(F.min_by("a", F.struct("far", F.xxhash64("a", "b"))).alias("a")).select("a", "b")
+    roots = materialize(connected_components(materialize(verified(nearest, sets, texts))))
+    rest = verified(apart(near.select("a", "b").distinct(), roots), sets, texts)
+    return materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
+
+
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one of the least doc_id.
 
@@ -283,12 +304,12 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     sets = distinct_sets(prints)
     width = max(16, sets.count().bit_length() + SPARE)
     config = replace(FIVE_WORDS, max_bits=COMPARED_BITS, tables=sampled_blocks(64 * FIVE_WORDS.lanes, len(FIVE_WORDS.tables), width))
-    links = materialize(verified(near_sets(sets, config), sets, texts))
-    roots = similar_sets(sets, texts, links).withColumnRenamed("node", "rid")
+    near = near_sets(sets, config)
+    roots = similar_sets(sets, texts, linked_sets(near, sets, texts)).withColumnRenamed("node", "rid")
     rooted = first.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.i").alias("id"), F.col("first.m").alias("mark")).distinct())
-    for table in (prints, sets):
+    for table in (prints, sets, near):
         discard(table)
     rows, restored = sheltered(docs)
     marked = rows.withColumn("_mark", F.xxhash64("_text"))

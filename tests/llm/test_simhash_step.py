@@ -10,6 +10,7 @@ from test_near_copies import DOCS, kept, pairs_with_edits, plain_kept, plain_set
 
 from graphloom.llm import shingle_join, simhash
 from graphloom.llm.common import arrow_rows, materialize
+from graphloom.llm.components import connected_components
 
 
 @pytest.fixture
@@ -82,3 +83,28 @@ def test_fingerprints_are_majorities_of_bits():
         want = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in hashes) > n)
         assert int(got[0]) == want == int(simhash.majority(hashes, 1)[0])
     assert not simhash.majority(np.zeros(0, np.uint64), 8).any()
+
+
+@pytest.mark.parametrize("block_rows", [8, 4096])
+def test_a_key_gives_fewer_pairs_than_its_sets(spark, block_rows):
+    """Copies that all share one key: links grow with their number, not with its square, and join them all."""
+    base = list(np.random.default_rng(12).choice([f"v{i}" for i in range(3000)], 300))
+    arrow_rows(spark)
+    for copies in (15, 30, 60):
+        rows = [(k, " ".join(base[: 3 * k] + [f"x{k}"] + base[3 * k + 1 :])) for k in range(copies)]
+        docs = spark.createDataFrame(rows, DOCS).withColumn("mark", F.xxhash64("text"))
+        sets = shingle_join.distinct_sets(simhash.set_prints(docs, partial(simhash.majority, lanes=8)))
+        config = replace(simhash.FIVE_WORDS, max_bits=simhash.COMPARED_BITS, tables=((),), block_rows=block_rows)
+        near = simhash.near_sets(sets, config)
+        assert copies - 1 <= near.count() <= copies - 1 + (copies // 8 + 1) ** 2 * (block_rows == 8)
+        roots = connected_components(simhash.linked_sets(near, sets, docs)).select("root", "node").collect()
+        assert len({r.node for r in roots}) == copies and len({r.root for r in roots}) == 1
+
+
+def test_each_set_is_tried_once_before_the_rest(spark, monkeypatch):
+    tried, tell = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *args: tried.append(pairs.distinct().count()) or tell(pairs, *args))
+    base = list(np.random.default_rng(13).choice([f"v{i}" for i in range(3000)], 300))
+    rows = [(k, " ".join(base[: 3 * k] + [f"x{k}"] + base[3 * k + 1 :])) for k in range(80)]
+    assert kept(spark, rows) == [0]
+    assert 0 < tried[0] < 80 and sum(tried) < 160
